@@ -220,8 +220,13 @@ class Grammar:
             if name in self.lists:
                 part, last, cut = self.lists[name]
                 pieces = cut(tokens)
-                if len(pieces) > 1 and all(self.derives((part,), p) for p in pieces[:-1]) and self.derives((last,), pieces[-1]):
-                    answers[name] = True
+                good = len(pieces) > 1
+                for i, piece in enumerate(pieces):  # no generator: nesting must not use the C stack
+                    if not good:
+                        break
+                    good = bool(self.derives((part if i + 1 < len(pieces) else last,), piece))
+                if good:
+                    answers[name] = self.memo[name, tokens] = True
                     left.remove(name)
         if left:
             found = self._run(left, tokens)

@@ -274,7 +274,7 @@ InitComma = Init ','
 Params = (Param (',' Param)*)?
 Param = Modifiers Type (Annotation* '...')? (ID ('.' 'this')? | 'this') Dims?
 Stmts = Stmt*
-Stmt = B{Stmts} | ';' | LocalVar ';' | Modifiers Type1 | 'if' P{Expr} Stmt ('else' Stmt)? | 'while' P{Expr} Stmt | 'do' Stmt 'while' P{Expr} ';' | 'for' P{ForHead} Stmt | Try | 'switch' P{Expr} B{Switch} | 'synchronized' P{Expr} B{Stmts} | 'return' Expr? ';' | 'throw' Expr ';' | 'break' ID? ';' | 'continue' ID? ';' | 'yield' Expr ';' | 'assert' Expr (':' Expr)? ';' | ID ':' Stmt | Expr ';'
+Stmt = B{Stmts} | ';' | LocalVar ';' | Modifiers Type1 | 'if' P{Expr} Stmt ('else' Stmt)? | 'while' P{Expr} Stmt | 'do' Stmt 'while' P{Expr} ';' | 'for' P{ForHead} Stmt | Try | 'switch' P{Expr} B{Switch} | 'synchronized' P{Expr} B{Stmts} | 'return' Expr? ';' | 'throw' Expr ';' | 'break' ID? ';' | 'continue' ID? ';' | 'yield' Expr ';' | 'assert' Expr (':' Expr)? ';' | ID ':' Stmt | Cond (ASSIGN Expr)? ';'
 Try = 'try' (P{Resources} B{Stmts} Catch* Finally? | B{Stmts} (Catch+ Finally? | Finally))
 Resources = Resource (';' Resource)* ';'?
 Resource = Modifiers Type ID '=' Expr | Postfix

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,14 @@ LANGUAGES = {
 }
 
 
+#: Frames for deeply nested texts; Python frames, which take no C stack.
+NESTING = 400_000
+
+
 def dialects(language: str, text: str) -> list[str]:
     """The dialects of ``language`` that derive ``text``; a byte-order mark is no part of it."""
+    if sys.getrecursionlimit() < NESTING:
+        sys.setrecursionlimit(NESTING)
     rules = grammar(language)
     tokens = lex(language, rules, text.removeprefix("\ufeff"))
     return [] if tokens is None else rules.accepted(tokens)
