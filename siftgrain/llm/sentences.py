@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgrain.session import cut_lineage
+
 #: Frequent function words that tell Latin-script languages apart.
 FUNCTION_WORDS = {
     "en": "the of and is to that for with are this was not before it on has by from".split(),
@@ -387,5 +389,9 @@ def sentence_ends(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def split_sentences(documents: DataFrame) -> DataFrame:
-    """Learns from all documents, then splits them all; see learn and sentence_ends."""
-    return sentence_ends(documents, collect_model(learn(corpus_counts(documents))))
+    """Learns from all documents, then splits them all; see learn and sentence_ends.
+
+    The corpus's counts, which the ratios read many times, are written to the
+    shared checkpoint folder, so each text is read twice: to count and to split.
+    """
+    return sentence_ends(documents, collect_model(learn(cut_lineage(corpus_counts(documents)))))
