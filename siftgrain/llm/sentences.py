@@ -29,7 +29,6 @@ _SCRIPTS = [
     ("ja", re.compile("[ぁ-ヿ]")), ("ko", re.compile("[가-힣]")), ("zh", re.compile("[一-鿿]")), ("th", re.compile("[ก-๛]")),
     ("ar", re.compile("[ؠ-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")),
 ]
-_LETTERS = re.compile(r"[^\W\d_]+")
 #: Scripts in which a period follows no abbreviation.
 _NO_ABBREVIATIONS = re.compile("[ぁ-ヿ가-힣一-鿿ก-๛]")
 
@@ -40,10 +39,10 @@ _LINE = re.compile(r"[^\n]*\n?")
 
 _OPENERS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "【": "】"}
 _CLOSERS = "\"'”“’»)\\]」』）】"
-_MARK = re.compile(r"[.!?…。！？؟۔।]+")
+# a mark that white space, a closing sign, the end or (for glued sentences) a capital follows; marks of scripts without spaces anywhere
+_MARK = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]」』）】A-ZÀ-ÖØ-ÞА-ЯЁ]|\Z)|[.!?…。！？؟۔।]*[。！？؟۔।][.!?…。！？؟۔।]*|…+")
 _AFTER = re.compile(rf"(?:[   ]?»|[{_CLOSERS}])*")
 _PAIRS = re.compile("[\"“”„«»「」『』()（）【】]")
-_BEFORE = re.compile(r"[^\s]*\Z")
 _NEXT = re.compile(r"\s*((?:[\"“„«‘¿¡(\[「『（—–-]+[   ]?)*)([^\s.,;:!?…()\[\]\"“”»«。！？，、；：]*)")
 _LEAD = "\"'“„«‘([¿¡「『（`*_"
 _TOKENS = re.compile(r"[^\s\"“”„«»()\[\]{}!?…,;:。！？，、；：؟।「」『』（）`]+")
@@ -107,9 +106,10 @@ def language(text: str) -> str:
             if len(pattern.findall(text)) * 5 > len(text) or name == "ja" and pattern.search(text):
                 return name
     votes: Counter = Counter()
-    for w in _LETTERS.findall(text.lower())[:200]:
-        for name in _FUNCTION.get(w, ()):
-            votes[name] += 1
+    for w in text.lower().split():
+        if w in _FUNCTION:
+            for name in _FUNCTION[w]:
+                votes[name] += 1
     return max(votes, key=lambda k: (votes[k], k)) if votes else "und"
 
 
@@ -120,28 +120,38 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     """``kind, lang, a, b, n`` over all documents' prose: token totals (t), tokens at sure starts (s), tokens before a period by what follows (p)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        tokens: dict[str, Counter] = {}
+        starts: dict[str, Counter] = {}
+        periods: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            rows = [("t", lang, w.rstrip("."), "", n) for lang, c in tokens.items() for w, n in c.items()]
+            rows += [("s", lang, w.rstrip("."), "", n) for lang, c in starts.items() for w, n in c.items()]
+            rows += [("p", *k, n) for k, n in periods.items()]
+            for c in (tokens, starts, periods):
+                c.clear()
+            return pd.DataFrame(rows, columns=["kind", "lang", "a", "b", "n"])
+
         for pdf in batches:
             for text in pdf["text"]:
-                by_lang: dict[str, list[str]] = {}
                 for a, b, kind in blocks(text):
-                    if kind in ("text", "item"):
-                        part = text[a:b]
-                        by_lang.setdefault(language(part), []).append(part)
-                for lang, parts in by_lang.items():
+                    if kind not in ("text", "item"):
+                        continue
+                    part = text[a:b]
+                    lang = language(part)
                     if lang in ("zh", "ja", "th"):
                         continue
-                    for part in parts:
-                        total.update([("t", lang, w.rstrip("."), "") for w in _TOKENS.findall(part)])
-                        total.update([("s", lang, w.rstrip("."), "") for w in _STARTS.findall(part)])
-                        for m in _PERIODS.finditer(part):
-                            token, after = m[1].lower(), m[2]
-                            if len(token) <= 12:
-                                total["p", lang, "#" if token[-1].isdigit() else token, after or ""] += 1
-            if len(total) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "lang", "a", "b", "n"])
-                total = Counter()
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "lang", "a", "b", "n"])
+                    if lang not in tokens:
+                        tokens[lang], starts[lang] = Counter(), Counter()
+                    tokens[lang].update(_TOKENS.findall(part))
+                    starts[lang].update(_STARTS.findall(part))
+                    for m in _PERIODS.finditer(part):
+                        token = m[1].lower()
+                        if len(token) <= 12:
+                            periods[lang, "#" if token[-1].isdigit() else token, m[2] or ""] += 1
+            if sum(map(len, tokens.values())) + len(periods) > 200_000:
+                yield counted()
+        yield counted()
 
     texts = documents.select("text").where(F.col("text").isNotNull())
     return texts.mapInPandas(count, COUNTS).groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
@@ -219,6 +229,12 @@ def collect_model(learned: DataFrame, limit: int = MODEL_LIMIT) -> dict:
     return {key: frozenset(part["a"]) for key, part in rows.groupby(["lang", "kind"])}
 
 
+def _before(part: str, start: int, at: int) -> str:
+    """The token that ends at ``at``, without opening signs; of a very long one the last characters, which no learned token has."""
+    around = part[max(start, at - 60) : at]
+    return around.rsplit(None, 1)[-1].lstrip(_LEAD) if around and not around[-1].isspace() else ""
+
+
 class Splitter:
     """Splits texts with a learned model."""
 
@@ -243,7 +259,7 @@ class Splitter:
         """The boundaries inside a block."""
         lang = language(part)
         found = []
-        thai = lang == "th" or "ก" <= max(part) and _SCRIPTS[3][1].search(part)
+        thai = lang == "th" or not part.isascii() and _SCRIPTS[3][1].search(part)
         if thai:
             for m in re.finditer(r"[ \n ]+", part):
                 x, y = part[m.start() - 1], part[m.end() : m.end() + 1]
@@ -258,7 +274,7 @@ class Splitter:
             marks = m[0]
             after = _AFTER.match(part, end)
             stop = end
-            inside = next(((x, y) for x, y in spans if x < at < y), None)
+            inside = next(((x, y) for x, y in spans if x < at < y), None) if spans else None
             if inside:
                 # a quotation or bracket that closes right after the mark may end the sentence; marks deeper inside never do
                 outer = [s for s in spans if s[0] < at < s[1]]
@@ -310,7 +326,7 @@ class Splitter:
         wide = marks[-1] in "。！？"
         if not spaced and not wide and marks[-1] not in "।؟۔":
             # a sentence glued to the one before: an ordinary word, then a known beginning
-            token = _BEFORE.search(part, max(start, at - 60), at)[0].lstrip(_LEAD)
+            token = _before(part, start, at)
             word = _NEXT.match(part, stop)[2]
             return marks[-1] in ".!?" and not inside and stop == at + len(marks) and len(token) > 2 and token.isalpha() and not token.isupper() and word[:1].isupper() and word.isalpha() and self.has(lang, "starter", word)
         if marks[0] == "…" and not spaced and "。" not in marks:
@@ -342,7 +358,7 @@ class Splitter:
             return not (marks[-1] in "!?" and lower and lead == "" and self.has(lang, "common", word) and not spaced)
         if marks[-1] == "…" or len(marks) > 1:
             return not lower or self.has(lang, "starter", word)
-        token = _BEFORE.search(part, max(start, at - 60), at)[0].lstrip(_LEAD)
+        token = _before(part, start, at)
         kind = token.lower()
         plain = kind.rstrip("”’»)\"']")
         if plain[-1:].isdigit():
