@@ -29,6 +29,7 @@ _SCRIPTS = [
     ("ja", re.compile("[ぁ-ヿ]")), ("ko", re.compile("[가-힣]")), ("zh", re.compile("[一-鿿]")), ("th", re.compile("[ก-๛]")),
     ("ar", re.compile("[ؠ-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")),
 ]
+_BEYOND_LATIN = re.compile("[\u0400-\u1fff\u3040-\ud7ff]")
 #: Scripts in which a period follows no abbreviation.
 _NO_ABBREVIATIONS = re.compile("[ぁ-ヿ가-힣一-鿿ก-๛]")
 
@@ -40,13 +41,15 @@ _LINE = re.compile(r"[^\n]*\n?")
 _OPENERS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "【": "】"}
 _CLOSERS = "\"'”“’»)\\]」』）】"
 # a mark that white space, a closing sign, the end or (for glued sentences) a capital follows; marks of scripts without spaces anywhere
+_MAY_CLOSE = frozenset("\"'”“’»)]」』）】 \u00a0\u202f")
 _MARK = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]」』）】A-ZÀ-ÖØ-ÞА-ЯЁ]|\Z)|[.!?…。！？؟۔।]*[。！？؟۔।][.!?…。！？؟۔।]*|…+")
 _AFTER = re.compile(rf"(?:[   ]?»|[{_CLOSERS}])*")
 _PAIRS = re.compile("[\"“”„«»「」『』()（）【】]")
 _NEXT = re.compile(r"\s*((?:[\"“„«‘¿¡(\[「『（—–-]+[   ]?)*)([^\s.,;:!?…()\[\]\"“”»«。！？，、；：]*)")
 _LEAD = "\"'“„«‘([¿¡「『（`*_"
 _TOKENS = re.compile(r"[^\s\"“”„«»()\[\]{}!?…,;:。！？，、；：؟।「」『』（）`]+")
-_PERIODS = re.compile(r"(?<![^\s\"“„«‘(\[¿¡])([^\s\"“”„«»()\[\]!?…]*[^\s\"“”„«»()\[\]!?….])\.(?=\s|\Z)(?=\s+([^\s.,;:!?…()\[\]\"“”»«]*)|\s*\Z)")
+_PERIODS = re.compile(r"\.(?=\s+([^\s.,;:!?…()\[\]\"“”»«]*)|\s*\Z)")
+_TOKEN_END = re.compile(r"[\"“”„«»()\[\]!?…]|\.\Z")
 _STARTS = re.compile(r"(?:\A|[!?؟।]+\s+)[\"“„«‘¿¡(]*([^\s.,;:!?…()\[\]\"“”»«]+)")
 
 
@@ -101,7 +104,7 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
 
 def language(text: str) -> str:
     """The language of a stretch of text by its script, and in Latin script by its function words; ``und`` if none of them occurs."""
-    if not text.isascii():
+    if not text.isascii() and _BEYOND_LATIN.search(text):
         for name, pattern in _SCRIPTS:
             if len(pattern.findall(text)) * 5 > len(text) or name == "ja" and pattern.search(text):
                 return name
@@ -146,9 +149,9 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                     tokens[lang].update(_TOKENS.findall(part))
                     starts[lang].update(_STARTS.findall(part))
                     for m in _PERIODS.finditer(part):
-                        token = m[1].lower()
-                        if len(token) <= 12:
-                            periods[lang, "#" if token[-1].isdigit() else token, m[2] or ""] += 1
+                        token = _before(part, 0, m.start()).lower()
+                        if 0 < len(token) <= 12 and not _TOKEN_END.search(token):
+                            periods[lang, "#" if token[-1].isdigit() else token, m[1] or ""] += 1
             if sum(map(len, tokens.values())) + len(periods) > 200_000:
                 yield counted()
         yield counted()
@@ -239,9 +242,14 @@ class Splitter:
     """Splits texts with a learned model."""
 
     def __init__(self, model: dict):
-        self.model = model
+        self.model = dict(model)
         self.none: frozenset = frozenset()
 
+        # text too short to tell its language is judged by what any language has learned
+        for kind in ("abbr", "starter", "common", "ordinal"):
+            known = [words for (lang, k), words in model.items() if k == kind]
+            self.model["und", kind] = frozenset().union(*known)
+
     def has(self, lang: str, kind: str, word: str) -> bool:
         return word in self.model.get((lang, kind), self.none)
 
@@ -272,19 +280,19 @@ class Splitter:
             if at < start or end >= len(part):
                 continue
             marks = m[0]
-            after = _AFTER.match(part, end)
+            after_end = _AFTER.match(part, end).end() if end < len(part) and part[end] in _MAY_CLOSE else end
             stop = end
             inside = next(((x, y) for x, y in spans if x < at < y), None) if spans else None
             if inside:
                 # a quotation or bracket that closes right after the mark may end the sentence; marks deeper inside never do
                 outer = [s for s in spans if s[0] < at < s[1]]
-                closing = [s for s in outer if s[1] < after.end()]
+                closing = [s for s in outer if s[1] < after_end]
                 if len(closing) < len(outer):
                     continue
                 inside = min(closing)
                 stop = max(s[1] for s in closing) + 1
-            elif after.end() > end and part[after.end() - 1] not in "“" and (after.end() >= len(part) or part[after.end()].isspace() or marks[-1] in "。！？"):
-                stop = after.end()
+            elif after_end > end and part[after_end - 1] not in "“" and (after_end >= len(part) or part[after_end].isspace() or marks[-1] in "。！？"):
+                stop = after_end
                 if part[end:stop].strip("  ") == '"' and any(s[0] == end or part[s[0]] == '"' and s[0] < stop <= s[0] + 1 for s in spans):
                     stop = end
             if stop >= len(part):
