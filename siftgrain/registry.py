@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftgrain.plans import problems
+from siftgrain.plans import problems, search_queries
 
-_MODULES = (problems,)
+_MODULES = (problems, search_queries)
 
 
 def queries() -> dict:
