@@ -79,8 +79,8 @@ SELECT arg_min(unit_id, place) AS unit_id, max(score) AS score, coalesce(list_so
     "postings": f"{BASE}, t AS (SELECT unit_id, unnest({TOKENS}) AS term, generate_subscripts({TOKENS}, 1) - 1 AS position FROM units) SELECT term, unit_id, count(*) AS tf, min(position) AS first_position FROM t GROUP BY ALL",
     "corpus_stats": f"{BASE} SELECT repository_id, count(*) AS n_units, sum(len({TOKENS})) AS n_tokens FROM units GROUP BY 1",
     "focused_snippet": BASE + r""", l AS (SELECT unit_id, string_split(text, chr(10)) AS rows FROM units WHERE contains(text, 'checksum mismatch')),
-s AS (SELECT unit_id, rows, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS at FROM l),
-b AS (SELECT unit_id, any_value(rows) AS rows, arg_max(at, n * 1000000 - at) AS best FROM (SELECT *, list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'checksum')::INT + list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'mismatch')::INT AS n FROM s) GROUP BY unit_id)
+s AS (SELECT unit_id, rows, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS pos FROM l),
+b AS (SELECT unit_id, any_value(rows) AS rows, arg_max(pos, n * 1000000 - pos) AS best FROM (SELECT *, list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'checksum')::INT + list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'mismatch')::INT AS n FROM s) GROUP BY unit_id)
 SELECT unit_id, substr(array_to_string(rows[greatest(best - 1, 0) + 1 : best + 2], chr(10)), 1, 240) AS snippet FROM b""",
     "grep_literal": BASE + ", l AS (SELECT unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM units) SELECT unit_id, line_no, strlen(split_part(line, 'TODO remove', 1)) + 1 AS byte_column, line FROM l WHERE contains(line, 'TODO remove')",
     "grep_regex": BASE + r", l AS (SELECT unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM units) SELECT unit_id, line_no, strlen(regexp_extract(line, '^(.*?)(?:raise|throw) [A-Za-z ]+Error', 1)) + 1 AS byte_column, line FROM l WHERE regexp_matches(line, '(?:raise|throw) [A-Za-z ]+Error')",
