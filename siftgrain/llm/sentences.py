@@ -41,7 +41,10 @@ _LINE = re.compile(r"[^\n]*\n?")
 _OPENERS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "【": "】"}
 _CLOSERS = "\"'”“’»)\\]」』）】"
 # a mark that white space, a closing sign, the end or (for glued sentences) a capital follows; marks of scripts without spaces anywhere
+_DIGIT = re.compile(r"\d")
 _MAY_CLOSE = frozenset("\"'”“’»)]」』）】 \u00a0\u202f")
+_MARK_NARROW = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]」』）】A-ZÀ-ÖØ-ÞА-ЯЁ]|\Z)")
+_WIDE = re.compile("[。！？؟۔।]|…(?!\\s)")
 _MARK = re.compile(r"[.!?…]+(?=[\s\"'”“’»)\]」』）】A-ZÀ-ÖØ-ÞА-ЯЁ]|\Z)|[.!?…。！？؟۔।]*[。！？؟۔।][.!?…。！？؟۔।]*|…+")
 _AFTER = re.compile(rf"(?:[   ]?»|[{_CLOSERS}])*")
 _PAIRS = re.compile("[\"“”„«»「」『』()（）【】]")
@@ -128,7 +131,12 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
         periods: Counter = Counter()
 
         def counted() -> pd.DataFrame:
-            rows = [("t", lang, w.rstrip("."), "", n) for lang, c in tokens.items() for w, n in c.items()]
+            # tokens with digits are only part of the total
+            rows = []
+            for lang, c in tokens.items():
+                words = {w: n for w, n in c.items() if not _DIGIT.search(w)}
+                rows += [("t", lang, w.rstrip("."), "", n) for w, n in words.items()]
+                rows.append(("t", lang, "#", "", c.total() - sum(words.values())))
             rows += [("s", lang, w.rstrip("."), "", n) for lang, c in starts.items() for w, n in c.items()]
             rows += [("p", *k, n) for k, n in periods.items()]
             for c in (tokens, starts, periods):
@@ -275,7 +283,8 @@ class Splitter:
                     found.append(m.start())
         spans = self._spans(part)
         start = 0
-        for m in _MARK.finditer(part):
+        narrow = part.isascii() or not _WIDE.search(part)
+        for m in (_MARK_NARROW if narrow else _MARK).finditer(part):
             at, end = m.start(), m.end()
             if at < start or end >= len(part):
                 continue
@@ -329,8 +338,12 @@ class Splitter:
         return sorted(out)
 
     def _is_boundary(self, part: str, lang: str, marks: str, at: int, stop: int, inside, start: int) -> bool:
-        nxt = part[stop]
-        spaced = nxt.isspace()
+        spaced = part[stop].isspace()
+        if marks == "." and spaced and not inside and stop == at + 1:
+            # a period after an ordinary word, the usual case
+            token = _before(part, start, at)
+            if len(token) > 1 and token.isalpha() and token.lower() not in self.model.get((lang, "abbr"), self.none):
+                return True
         wide = marks[-1] in "。！？"
         if not spaced and not wide and marks[-1] not in "।؟۔":
             # a sentence glued to the one before: an ordinary word, then a known beginning
@@ -386,8 +399,8 @@ class Splitter:
         return True
 
 
-def sentence_ends(documents: DataFrame, model: dict) -> DataFrame:
-    """``doc_id, sentence_no, start_pos, end_pos`` of each sentence, sentences in order from 0.
+def sentence_ends(documents: DataFrame, model: dict, starts: bool = True) -> DataFrame:
+    """``doc_id, sentence_no, start_pos, end_pos`` of each sentence, sentences in order from 0; without ``starts`` only ``doc_id, end_pos``.
 
     ``end_pos`` is the number of code points up to and including the sentence's
     last character. Headings are one sentence each, list items at least one,
@@ -400,22 +413,28 @@ def sentence_ends(documents: DataFrame, model: dict) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(sent.value)
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                before = 0
-                for n, end in enumerate(splitter.ends(text)):
-                    lead = text[before:end]
-                    rows.append((doc, n, before + len(lead) - len(lead.lstrip()), end))
-                    before = end
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence_no", "start_pos", "end_pos"])
-
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(split, "doc_id bigint, sentence_no int, start_pos int, end_pos int")
-
-
-def split_sentences(documents: DataFrame) -> DataFrame:
+            docs, numbers, begins, stops = [], [], [], []
+            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+                ends = splitter.ends(text)
+                docs += [doc] * len(ends)
+                stops += ends
+                if starts:
+                    numbers += range(len(ends))
+                    for before in [0, *ends[:-1]][: len(ends)]:
+                        while text[before].isspace():
+                            before += 1
+                        begins.append(before)
+            columns = {"doc_id": docs} | ({"sentence_no": numbers, "start_pos": begins} if starts else {}) | {"end_pos": stops}
+            yield pd.DataFrame(columns)
+
+    schema = "doc_id bigint, sentence_no int, start_pos int, end_pos int" if starts else "doc_id bigint, end_pos int"
+    return documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(split, schema)
+
+
+def split_sentences(documents: DataFrame, starts: bool = True) -> DataFrame:
     """Learns from all documents, then splits them all; see learn and sentence_ends.
 
     The corpus's counts, which the ratios read many times, are written to the
     shared checkpoint folder, so each text is read twice: to count and to split.
     """
-    return sentence_ends(documents, collect_model(learn(cut_lineage(corpus_counts(documents)))))
+    return sentence_ends(documents, collect_model(learn(cut_lineage(corpus_counts(documents)))), starts)
