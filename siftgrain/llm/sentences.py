@@ -111,11 +111,10 @@ def language(text: str) -> str:
         for name, pattern in _SCRIPTS:
             if len(pattern.findall(text)) * 5 > len(text) or name == "ja" and pattern.search(text):
                 return name
-    votes: Counter = Counter()
-    for w in text.lower().split():
-        if w in _FUNCTION:
-            for name in _FUNCTION[w]:
-                votes[name] += 1
+    votes: dict[str, int] = {}
+    for w in [w for w in text.lower().split() if w in _FUNCTION]:
+        for name in _FUNCTION[w]:
+            votes[name] = votes.get(name, 0) + 1
     return max(votes, key=lambda k: (votes[k], k)) if votes else "und"
 
 
