@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftgrain.functions.keys import norm_hash, norm_path
 
 #: A key that is present, but whose value was never read since it appeared.
-UNKNOWN = ""
+UNKNOWN = b""
+
+
+def _packed(digest: Column) -> Column:
+    """A digest in half its bytes for the shuffles: hexadecimal as bytes, anything else as itself behind a zero byte. Equal for equal digests only."""
+    return F.when(digest.rlike("^([0-9a-f][0-9a-f])+$"), F.concat(F.lit(b"\x01"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\x00"), F.encode(digest, "UTF-8")))
 
 
 def index_snapshots(manifests: DataFrame) -> DataFrame:
-    """One row per snapshot: ``series``, ``idx`` (from 1, by capture time, then id) and ``next_id``.
+    """One row per snapshot: ``manifest_id``, ``series`` and ``idx`` (from 1, by capture time, then id).
 
     ``manifests`` needs ``manifest_id, repository_id, module_root, captured_at``.
     Redelivered rows count once. A snapshot without an id is ignored; null
@@ -27,7 +32,7 @@ def index_snapshots(manifests: DataFrame) -> DataFrame:
         .select("manifest_id", F.struct("s.r", "s.m").alias("series"), F.col("s.captured_at").alias("captured_at"))
     )
     order = W.partitionBy("series").orderBy("captured_at", "manifest_id")
-    return one.select("manifest_id", "series", F.row_number().over(order).alias("idx"), F.lead("manifest_id").over(order).alias("next_id"))
+    return one.select("manifest_id", "series", F.row_number().over(order).alias("idx"))
 
 
 def snapshot_changes(manifests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -49,15 +54,12 @@ def snapshot_changes(manifests: DataFrame, entries: DataFrame) -> DataFrame:
     series = index_snapshots(manifests)
     keyed = (
         entries.where(F.col("repo_relative").isNotNull() & F.col("manifest_id").isNotNull())
-        .select("manifest_id", norm_path(F.col("repo_relative")).alias("path"), norm_hash(F.col("content_hash")).alias("hash"), "received_at")
+        .select("manifest_id", norm_path(F.col("repo_relative")).alias("path"), _packed(norm_hash(F.col("content_hash"))).alias("hash"), "received_at")
         .join(series, "manifest_id")
+        .drop("manifest_id")
         .repartition("series", "path")
     )
-    one = keyed.groupBy("series", "path", "idx").agg(
-        F.first("manifest_id").alias("manifest_id"),
-        F.first("next_id").alias("next_id"),
-        F.min(F.when(F.col("hash").isNotNull(), F.struct("received_at", "hash"))).getField("hash").alias("hash"),
-    )
+    one = keyed.groupBy("series", "path", "idx").agg(F.min(F.when(F.col("hash").isNotNull(), F.struct("received_at", "hash"))).getField("hash").alias("hash"))
     order = W.partitionBy("series", "path").orderBy("idx")
     starts = F.lag("idx").over(order).eqNullSafe(F.col("idx") - 1) == F.lit(False)
     runs = one.select(
@@ -70,15 +72,15 @@ def snapshot_changes(manifests: DataFrame, entries: DataFrame) -> DataFrame:
     valued = runs.select("*", known.alias("known"))
     before = F.lag("known").over(order)
     marked = valued.select("*", before.alias("before"))
+    row = lambda idx, kind: F.struct(idx.alias("idx"), F.lit(kind).alias("change_kind"))
     kinds = F.array(
-        F.when(F.col("starts") & (F.col("idx") > 1), F.struct(F.col("manifest_id").alias("manifest_id"), F.lit("added").alias("change_kind"))),
-        F.when(
-            ~F.col("starts") & (F.col("before") != UNKNOWN) & (F.col("known") != F.col("before")),
-            F.struct(F.col("manifest_id").alias("manifest_id"), F.lit("changed").alias("change_kind")),
-        ),
-        F.when(F.col("ends") & F.col("next_id").isNotNull(), F.struct(F.col("next_id").alias("manifest_id"), F.lit("removed").alias("change_kind"))),
+        F.when(F.col("starts") & (F.col("idx") > 1), row(F.col("idx"), "added")),
+        F.when(~F.col("starts") & (F.col("before") != F.lit(UNKNOWN)) & (F.col("known") != F.col("before")), row(F.col("idx"), "changed")),
+        F.when(F.col("ends"), row(F.col("idx") + 1, "removed")),
     )
-    return marked.select("path", F.inline(F.filter(kinds, lambda k: k.isNotNull()))).select("manifest_id", F.col("path").alias("repo_relative"), "change_kind")
+    changes = marked.select("series", F.col("path").alias("repo_relative"), F.inline(F.filter(kinds, lambda k: k.isNotNull())))
+    # the series' last snapshot has none after it, so its keys' ends find no partner here
+    return changes.join(series, ["series", "idx"]).select("manifest_id", "repo_relative", "change_kind")
 
 
 def snapshot_change_counts(manifests: DataFrame, entries: DataFrame) -> DataFrame:
