@@ -144,3 +144,64 @@ def quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     ideal = relevant.withColumn("p", place).where(F.col("p") <= k).groupBy("query_id").agg(F.sum(F.col("rel") / F.log2(F.col("p") + 1.0)).alias("ideal"))
     ndcg = F.when(F.coalesce("ideal", F.lit(0.0)) > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)
     return got.join(ideal, "query_id", "left").select("query_id", "recall_at_k", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round(ndcg, 6).alias("ndcg_at_k"))
+
+
+#: Evidence kinds that a question requires and prefers, its freshness, least confidence and fallbacks (fixed values).
+CONTRACTS = {
+    "DEFINITION": (("SOURCE_CODE", "GENERATED_SOURCE"), "CURRENT_ONLY", None, ("broader", "verify"), 2, 20),
+    "EXACT_LOOKUP": (("SOURCE_CODE", "CONFIGURATION", "DOCUMENTATION", "KNOWLEDGE", "TEST"), "CURRENT_ONLY", None, ("broader", "verify"), 2, 10),
+    "SYMBOL_NAVIGATION": (("SOURCE_CODE",), "CURRENT_OR_STALE", 0.6, ("graph", "broader"), 2, 30),
+    "CONFIGURATION": (("CONFIGURATION",), "CURRENT_ONLY", None, ("broader", "knowledge", "verify"), 2, 20),
+    "ARCHITECTURE": (("SOURCE_CODE",), "CURRENT_OR_STALE", 0.5, ("graph", "knowledge", "broader", "verify"), 3, 50),
+    "DEBUGGING": (("SOURCE_CODE",), "CURRENT_ONLY", 0.5, ("verify", "graph", "knowledge", "broader"), 3, 50),
+    "IMPACT": (("SOURCE_CODE", "GENERATED_SOURCE"), "CURRENT_OR_STALE", 0.5, ("graph", "broader"), 2, 40),
+    "DEPENDENCY": (("CONFIGURATION", "SOURCE_CODE", "RELATIONSHIP"), "CURRENT_OR_STALE", 0.6, ("graph", "broader"), 2, 30),
+    "CROSS_REPO": (("CONFIGURATION", "SOURCE_CODE", "RELATIONSHIP"), "CURRENT_OR_STALE", 0.6, ("graph", "broader"), 2, 30),
+    "KNOWLEDGE": (("KNOWLEDGE", "DOCUMENTATION"), "CURRENT_OR_STALE", None, ("knowledge", "broader"), 1, 20),
+    "TEST_BEHAVIOR": (("TEST",), "CURRENT_OR_STALE", None, ("broader", "verify"), 2, 30),
+    "GENERIC_SEARCH": ((), "ANY", None, ("broader", "knowledge"), 1, 50),
+}
+
+
+def sufficiency(evidence: DataFrame, required: DataFrame) -> DataFrame:
+    """``query_id, query_type, satisfied``: whether each question has evidence of a kind its contract requires. ``evidence`` has ``query_id, query_type, source_type``, ``required`` ``query_type, source_type``."""
+    needs = required.groupBy("query_type").agg(F.collect_set("source_type").alias("kinds"))
+    seen = evidence.groupBy("query_id", "query_type").agg(F.collect_set("source_type").alias("have"))
+    return seen.join(needs, "query_type", "left").select("query_id", "query_type", (F.col("kinds").isNull() | F.arrays_overlap("kinds", "have")).alias("satisfied"))
+
+
+def section_caps(ranked: DataFrame, by: list[str], primary: str, order: list[str]) -> DataFrame:
+    """``by, id`` kept per section: the primary section uncapped, another at most two while no other has been served, else one. Order-dependent, so a fold over each group's ordered array (a bounded candidate list)."""
+    arrays = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((F.col("section") != primary).cast("int").alias("rest"), *order, "id", "section"))).alias("all"))
+    zero = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("served"), F.array().cast("array<string>").alias("kept"))
+    had = lambda acc, s: F.coalesce(acc.getField("served")[s], F.lit(0))
+    others = lambda acc, s: F.size(F.filter(F.map_keys(acc.getField("served")), lambda k: (k != s) & (k != primary)))
+    take = lambda acc, x: F.struct(
+        F.map_concat(F.map_filter(acc.getField("served"), lambda k, _: k != x.getField("section")), F.create_map(x.getField("section"), had(acc, x.getField("section")) + 1)).alias("served"),
+        F.concat(acc.getField("kept"), F.array(x.getField("id"))).alias("kept"),
+    )
+    fits = lambda acc, x: (x.getField("section") == primary) | (had(acc, x.getField("section")) < F.when(others(acc, x.getField("section")) == 0, 2).otherwise(1))
+    return arrays.select(*by, F.explode(F.aggregate("all", zero, lambda acc, x: F.when(fits(acc, x), take(acc, x)).otherwise(acc)).getField("kept")).alias("id"))
+
+
+def derive_claims(evidence: DataFrame, by: list[str], most: int = 12) -> DataFrame:
+    """``by, claim, evidence_ids``: one sentence per distinct thing the evidence shows, at most ``most`` per question by confidence."""
+    claim = (
+        F.when(F.col("source_type") == "CONFIGURATION", F.format_string("%s configures it", "path")).when(F.col("source_type") == "TEST", F.format_string("%s tests it", "path"))
+        .when(F.col("source_type").isin("KNOWLEDGE", "DOCUMENTATION"), F.format_string("%s describes it", "path")).otherwise(F.format_string("%s implements it", "path"))
+    )
+    grouped = evidence.groupBy(*by, claim.alias("claim")).agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("id")).alias("evidence_ids"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("confidence"), "claim"))
+    return grouped.withColumn("place", place).where(F.col("place") <= most).select(*by, "claim", "evidence_ids")
+
+
+#: Words of a question that name nothing (fixed values).
+STOP_WORDS = ("the", "a", "an", "of", "to", "in", "is", "are", "how", "does", "do", "what", "which", "where", "who", "why", "that", "this", "for", "and", "or", "not", "with", "once", "if", "state", "name", "explain", "suppose")
+
+
+def question_terms(question: Column, most: int = 24) -> Column:
+    """The words to search for: no stop words, identifiers and long words first, in order, at most ``most``."""
+    words = F.array_distinct(F.filter(F.split(question, r"[^\w./-]+"), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*STOP_WORDS)))
+    weight = lambda w: F.when(w.rlike("_|[a-z][A-Z]|::|\\."), 2).otherwise(0) + F.when(F.length(w) >= 9, 1).otherwise(0)
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-weight(w)).alias("w"), i.alias("i"), w.alias("word"))))
+    return F.slice(F.transform(ranked, lambda x: x.getField("word")), 1, most)

@@ -534,3 +534,74 @@ def coalesce_stream(spark, sf):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(DISTINCT user_id) AS n_paths, count(DISTINCT user_id) > 10 AS overflowed FROM events WHERE event_type <> 'purchase' GROUP BY 1")
 def overflow_flag(spark, sf):
     return S.overflow(_changes(read_table(spark, sf, "events", "user_id", "event_type", "ts", "event_id")), "1 hour", 10)
+
+
+# --- more evidence, pages and boundaries ----------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', '{c[1]}', {c[2] if c[2] is not None else 'NULL'}::DOUBLE, {c[4]}, {c[5]})" for k, c in E.CONTRACTS.items() for s in (c[0] or ("ANY",))) + ") v(query_type, source_type, freshness, min_confidence, rounds, extra)")
+def contracts(spark, sf):
+    rows = [(k, s, c[1], c[2], c[4], c[5]) for k, c in E.CONTRACTS.items() for s in (c[0] or ("ANY",))]
+    return spark.createDataFrame(rows, "query_type string, source_type string, freshness string, min_confidence double, rounds int, extra int")
+
+
+@query(_RANKED + """, q AS (SELECT repository_id AS query_id, 'CONFIGURATION' AS query_type, CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/|(^|/)(test|tests|__tests__|spec)/|test_|_test\\.|tests?\\.(java|kt|scala|cs)$|\\.(test|spec)\\.|\\.(md|markdown|rst|adoc|txt)$') THEN 'x'
+  WHEN regexp_matches(lower(path), '\\.(ya?ml|toml|json|ini|properties|conf|xml)$') THEN 'CONFIGURATION' ELSE 'x' END AS s FROM ranked)
+SELECT query_id, query_type, bool_or(s = 'CONFIGURATION') AS satisfied FROM q GROUP BY 1, 2""")
+def requirement_sufficiency(spark, sf):
+    rows = _ranked(spark, sf).select(F.col("repository_id").alias("query_id"), F.lit("CONFIGURATION").alias("query_type"), source_type(F.col("path")).alias("source_type"))
+    needed = spark.createDataFrame([(k, s) for k, c in E.CONTRACTS.items() for s in c[0]], "query_type string, source_type string")
+    return E.sufficiency(rows, needed)
+
+
+@query()
+def section_caps(spark, sf):
+    rows = _ranked(spark, sf).select("repository_id", F.col("fusion_key").alias("id"), source_type(F.col("path")).alias("section"), (-F.col("score")).alias("neg"))
+    return E.section_caps(rows, ["repository_id"], "SOURCE_CODE", ["neg"])
+
+
+@query()
+def claim_derive(spark, sf):
+    rows = _ranked(spark, sf).select("repository_id", F.col("fusion_key").alias("id"), "path", "confidence", source_type(F.col("path")).alias("source_type"))
+    return E.derive_claims(rows, ["repository_id"])
+
+
+@query()
+def question_terms(spark, sf):
+    return read_table(spark, sf, "eval_items", "item_id", "item_text").select("item_id", E.question_terms(F.col("item_text")).alias("terms"))
+
+
+@query(BASE + "SELECT repository_id, path, id FROM newest WHERE path > 'libs/' AND existence_state = 'present' ORDER BY path, repository_id LIMIT 100")
+def keyset_page(spark, sf):
+    return latest(spark, sf).where("path > 'libs/' AND existence_state = 'present'").orderBy("path", "repository_id").limit(100).select("repository_id", "path", "id")
+
+
+@query(BASE + "SELECT occurrence_id, unit_id, start_line FROM (SELECT occurrence_id, id AS unit_id, start_line, row_number() OVER (PARTITION BY occurrence_id ORDER BY start_line NULLS FIRST, id) AS k FROM un) WHERE k <= 3 AND occurrence_id IS NOT NULL")
+def units_per_file_capped(spark, sf):
+    from pyspark.sql import Window as W
+
+    u = folded(read_table(spark, sf, "retrieval_units", "id", "file_occurrence_id", "start_line"), "id").select(norm_id(F.col("file_occurrence_id")).alias("occurrence_id"), F.col("id").alias("unit_id"), "start_line").where("occurrence_id IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("occurrence_id").orderBy(F.asc_nulls_first("start_line"), "unit_id"))
+    return u.withColumn("k", place).where("k <= 3").select("occurrence_id", "unit_id", "start_line")
+
+
+@query(BASE + """, g AS (SELECT DISTINCT repository_id, cited_path AS glob, '^' || replace(replace(replace(replace(cited_path, '.', '\\.'), '**/', '(?:.*/)?'), '*', '[^/]*'), '(?:.[^/]*/)?', '(?:.*/)?') || '$' AS re FROM spec_citations WHERE citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL)
+SELECT n.repository_id, count(*) AS n_files, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE g.repository_id = n.repository_id AND regexp_matches(n.path, g.re))) AS n_covered FROM newest n GROUP BY 1""")
+def boundary_coverage(spark, sf):
+    globs = read_table(spark, sf, "spec_citations", "repository_id", "citation_kind", "cited_path").where("citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL").select("repository_id", F.col("cited_path").alias("glob")).distinct()
+    dotted = F.regexp_replace(F.col("glob"), r"\.", r"\\.")
+    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(dotted, r"\*\*/", "\u0001"), r"\*", "[^/]*"), "\u0001", "(?:.*/)?"), F.lit("$"))
+    # a glob begins with its directory, so the join is on the first two components
+    head = lambda c: F.substring_index(c, "/", 2)
+    files = latest(spark, sf).select("repository_id", "path", "id").withColumn("head", head(F.col("path")))
+    covered = files.join(globs.select("repository_id", regex.alias("re"), head(F.col("glob")).alias("head")), ["repository_id", "head"]).where(F.expr("path rlike re")).select("id", F.lit(1).alias("hit")).distinct()
+    return files.join(covered, "id", "left").groupBy("repository_id").agg(F.count("*").alias("n_files"), F.count("hit").alias("n_covered"))
+
+
+@query(BASE + "SELECT repository_id, any_value(display_name) AS display_name, count(*) FILTER (language IS NULL) AS n_unknown_language, count(DISTINCT lower(trim(language))) AS n_languages, round(avg(size_bytes), 6) AS mean_size FROM newest JOIN repositories r ON r.id = repository_id WHERE existence_state = 'present' GROUP BY 1")
+def repository_languages(spark, sf):
+    repos = read_table(spark, sf, "repositories", "id", "display_name").select(F.col("id").alias("repository_id"), "display_name")
+    rows = latest(spark, sf, "language", "size_bytes").where("existence_state = 'present'").join(repos, "repository_id")
+    return rows.groupBy("repository_id").agg(
+        F.first("display_name").alias("display_name"), F.count(F.when(F.col("language").isNull(), 1)).alias("n_unknown_language"), F.count_distinct(F.lower(F.trim("language"))).alias("n_languages"), F.round(F.avg("size_bytes"), 6).alias("mean_size")
+    )
