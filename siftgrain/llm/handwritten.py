@@ -42,13 +42,20 @@ _LITERAL_LINE = re.compile(r"[\s\[\](){},;]*(?:(?:-?(?:0x[0-9a-fA-F]+|\d[\d_.eE+
 
 
 def head_of(text: str) -> str:
-    """The leading comment lines (of the first eight, after a byte-order mark and a shebang)."""
-    lines = []
-    for line in text.removeprefix("﻿").splitlines()[:8]:
-        if line.startswith("#!"):
+    """The leading comment lines (of the first eight, after a byte-order mark and a shebang), block comments and docstrings included."""
+    lines, closing = [], ""
+    for line in text.removeprefix("\ufeff").splitlines()[:8]:
+        plain = line.strip()
+        if closing:
+            closing = "" if closing in plain else closing
+        elif line.startswith("#!"):
             continue
-        if line.strip() and not _COMMENT.match(line):
+        elif plain and not _COMMENT.match(line):
             break
+        else:
+            for mark, end in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''")):
+                if plain.startswith(mark) and end not in plain[len(mark) :]:
+                    closing = end
         lines.append(line)
     return "\n".join(lines)
 
