@@ -605,3 +605,18 @@ def repository_languages(spark, sf):
     return rows.groupBy("repository_id").agg(
         F.first("display_name").alias("display_name"), F.count(F.when(F.col("language").isNull(), 1)).alias("n_unknown_language"), F.count_distinct(F.lower(F.trim("language"))).alias("n_languages"), F.round(F.avg("size_bytes"), 6).alias("mean_size")
     )
+
+
+@query(BASE + """, r AS (SELECT repository_id AS query_id, path AS item, row_number() OVER (PARTITION BY repository_id ORDER BY size_bytes DESC, path) AS place FROM newest WHERE existence_state = 'present'),
+t AS (SELECT repository_id AS query_id, cited_path AS item, max(CASE WHEN citation_kind = 'TARGET_MODIFY' THEN 3 ELSE 2 END) AS rel FROM spec_citations WHERE citation_kind IN ('TARGET_MODIFY', 'EXISTING_REF') AND cited_path IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT r.query_id, max(CASE WHEN place <= 10 AND coalesce(rel, 0) >= 3 THEN 1.0::DOUBLE ELSE 0 END) AS recall_at_k, coalesce(max(CASE WHEN rel >= 3 THEN 1.0::DOUBLE / place END), 0) AS rr, sum(CASE WHEN place <= 10 THEN coalesce(rel, 0) / log2(place + 1) ELSE 0 END) AS dcg FROM r LEFT JOIN t USING (query_id, item) GROUP BY 1),
+i AS (SELECT query_id, sum(rel / log2(p + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, item) AS p FROM t) WHERE p <= 10 GROUP BY 1)
+SELECT query_id, recall_at_k, round(rr, 6) AS reciprocal_rank, round(CASE WHEN coalesce(ideal, 0) > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg_at_k FROM g LEFT JOIN i USING (query_id)""")
+def retrieval_quality(spark, sf):
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("repository_id").orderBy(F.desc("size_bytes"), "path"))
+    ranked = latest(spark, sf, "size_bytes").where("existence_state = 'present'").select(F.col("repository_id").alias("query_id"), F.col("path").alias("item"), place.alias("place"))
+    cited = read_table(spark, sf, "spec_citations", "citation_kind", "repository_id", "cited_path").where("citation_kind IN ('TARGET_MODIFY', 'EXISTING_REF') AND cited_path IS NOT NULL")
+    relevant = cited.groupBy(F.col("repository_id").alias("query_id"), F.col("cited_path").alias("item")).agg(F.max(F.when(F.col("citation_kind") == "TARGET_MODIFY", 3).otherwise(2)).alias("rel"))
+    return E.quality(ranked, relevant, 10)
