@@ -31,7 +31,7 @@ def cut_after(*ends):
 
 
 #: Words that go on with the statement before.
-_GOES_ON = frozenset("else catch finally while instanceof in of as is extends where satisfies".split())
+_GOES_ON = frozenset("else catch finally while instanceof in of as is extends implements permits throws from with where satisfies".split())
 
 
 def cut_statements(tokens):
@@ -218,12 +218,12 @@ Ref = NAME ('.' NAME)*
 TypeArgs = '<' Type (',' Type)* '>'
 TypeParams = '<' TypeParam (',' TypeParam)* ','? '>'
 TypeParam = ('in' | 'out' | 'const')* ID ('extends' Type)? ('=' Type)?
-Type = FuncType | Union ('extends' Union '?' Type ':' Type)? | TypePred
+Type = FuncType | Union ('extends' (Union | FuncType) '?' Type ':' Type)? | TypePred
 FuncType = 'abstract'? 'new'? TypeParams? P{Params} '=>' (TypePred | Type)
 Union = ('|' | '&')? TypeUnary (('|' | '&') (TypeUnary | FuncType))*
 TypeUnary = ('keyof' | 'readonly' | 'unique')* TypePrim (%same K{IndexType})* | 'infer' ID ('extends' Union)?
 IndexType = Type?
-TypePrim = Ref TypeArgs? | 'typeof' (Ref | 'import' P{Type}) TypeArgs? | STR | NUM | '-' NUM | T{TypeTemplate} | B{TypeMembers} | K{TupleBody} | P{Type} | 'void' | 'this' | CONST | 'import' P{Type} ('.' NAME)* TypeArgs?
+TypePrim = Ref TypeArgs? | 'typeof' (Ref | 'import' P{Type} ('.' NAME)*) TypeArgs? | STR | NUM | '-' NUM | T{TypeTemplate} | B{TypeMembers} | K{TupleBody} | P{Type} | 'void' | 'this' | CONST | 'import' P{Type} ('.' NAME)* TypeArgs?
 TypeTemplate = B{Type}*
 TupleBody = (TupleItem ',')* TupleItem?
 TupleItem = '...'? (NAME '?'? ':')? Type '?'?
@@ -231,6 +231,7 @@ TypeMembers = (TypeMember (';' | ',' | %nl))* TypeMember?
 TypeMember = ('readonly' | '-' 'readonly' | '+' 'readonly' | 'get' | 'set')? (PropName | K{MappedKey}) ('?' | '-' '?' | '+' '?')? (TypeParams? P{Params})? TypeAnn? | 'new'? TypeParams? P{Params} TypeAnn?
 MappedKey = ID 'in' Type ('as' Type)? | ID ':' Type | Assign
 Arrow = 'async'? (ID | TypeParams? P{Params} TypeAnn?) '=>' (B{Stmts} | Assign)
+ObjItem = '...' Assign | NAME ('=' Assign)? | PropName ':' Assign | ('async'? '*'? | 'get' | 'set') PropName TypeParams? P{Params} TypeAnn? B{Stmts}
 Bin = Unary (BinOp Unary | ('as' | 'satisfies') (Type | 'const'))*
 Unary = (UOP | '<' Type '>')* Postfix ('++' | '--')?
 Suffix = '.' (NAME | PRIVATE) | '?.' (NAME | PRIVATE | TypeArgs? P{Args} | K{Expr}) | P{Args} | K{Expr} | T{Template} | %same '!' | TypeArgs (P{Args} | T{Template})?
