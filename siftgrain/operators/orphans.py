@@ -25,7 +25,14 @@ def _path_key(repository: Column, path: Column, sensitive: Column) -> Column:
 
 
 def corpus_references(units: DataFrame, occurrences: DataFrame, citations: DataFrame, repositories: DataFrame) -> DataFrame:
-    """All references of the corpus: ``ref_table, row_key, key, ref_first``; copies folded, null references left out."""
+    """All references of the corpus: ``ref_table, row_key, key, ref_first``; copies folded, null references left out.
+
+    A citation of a repository that is not listed keeps its letter case; one
+    without a repository is a reference of its own (to no repository). Extra
+    columns are dropped first, so clashing names do no harm.
+    """
+    units, occurrences = units.select("id", "file_occurrence_id", "received_at"), occurrences.select("id", "source_revision_id", "received_at")
+    citations = citations.select("run_id", "ordinal", "citation_kind", "repository_id", "cited_path", "received_at")
     case = repositories.select(norm_id(F.col("id")).alias("repo"), "case_sensitive").groupBy("repo").agg(F.max("case_sensitive").alias("case_sensitive"))
     cited = citations.where(F.col("citation_kind").isin("EXISTING_REF", "TARGET_MODIFY") & F.col("cited_path").isNotNull()).withColumn("repo", norm_id(F.col("repository_id")))
     return _first_seen(
@@ -41,7 +48,12 @@ def corpus_references(units: DataFrame, occurrences: DataFrame, citations: DataF
 
 
 def corpus_parents(occurrences: DataFrame, revisions: DataFrame, repositories: DataFrame) -> DataFrame:
-    """What the references may point at: ``ref_table, key, parent_first, deleted``, one row per key."""
+    """What the references may point at: ``ref_table, key, parent_first, deleted``, one row per key.
+
+    A path counts as deleted if its newest occurrence is (of equal numbers, if
+    any is). Null ids and paths are no parents; extra columns are dropped first.
+    """
+    occurrences = occurrences.select("id", "repository_id", "path", "existence_state", "occurrence_seq", "received_at")
     case = repositories.select(norm_id(F.col("id")).alias("repo"), "case_sensitive").groupBy("repo").agg(F.max("case_sensitive").alias("case_sensitive"))
     gone = F.coalesce(F.lower(F.trim("existence_state")) == "deleted", F.lit(False))
     by_path = occurrences.where(F.col("path").isNotNull()).withColumn("repo", norm_id(F.col("repository_id"))).join(case, "repo", "left")

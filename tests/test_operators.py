@@ -65,6 +65,25 @@ def test_orphan_cases(spark):
     assert {r.orphan_kind for r in orphans.orphan_references(refs, parents.limit(0)).collect()} == {"missing"}
 
 
+def test_corpus_orphans(spark):
+    clash = dict.fromkeys(("repo", "case_sensitive", "key", "deleted", "span"))
+    with_clash = lambda df: df.withColumns({c: F.lit("x") for c in clash if c not in df.columns})
+    o = with_clash(spark.createDataFrame([
+        ("O1", "r1", "s1", "a/B.py", "present", 1, at(1)), ("O1", "r1", "s1", "a/B.py", "present", 1, at(9)), ("O2", "r2", " {S2}", "a/b.py", "present", 1, at(1)), ("O3", "r2", None, "a/b.py", "deleted", 2, at(2)), ("O4", None, "zz", None, None, None, None),
+    ], "id string, repository_id string, source_revision_id string, path string, existence_state string, occurrence_seq bigint, received_at timestamp_ntz"))
+    u = with_clash(spark.createDataFrame([("u1", "urn:uuid:o1", at(2)), ("u2", "o9", at(2)), ("u3", "O3", at(5)), ("u4", None, at(1)), ("u5", "o1", at(0)), ("u5", "o1", at(7))], "id string, file_occurrence_id string, received_at timestamp_ntz"))
+    c = with_clash(spark.createDataFrame([
+        ("c", 1, "EXISTING_REF", "r1", "./A/b.PY", at(3)), ("c", 2, "EXISTING_REF", "r2", "A/b.py", at(3)), ("c", 3, "TARGET_MODIFY", "r2", "a\\b.py", at(3)), ("c", 4, "ALLOW_GLOB", "r2", "q", at(3)), ("c", 5, "EXISTING_REF", "r2", None, at(3)), ("c", 6, "EXISTING_REF", None, "a/b.py", at(3)),
+    ], "run_id string, ordinal int, citation_kind string, repository_id string, cited_path string, received_at timestamp_ntz"))
+    r = spark.createDataFrame([("r1", False), ("r2", True)], "id string, case_sensitive boolean")
+    v = spark.createDataFrame([("s1", at(0)), ("s2", at(5))], "id string, received_at timestamp_ntz")
+    got = orphans.orphan_references(orphans.corpus_references(u, o, c, r), orphans.corpus_parents(o, v, r), 2)
+    assert sorted((x.ref_table, x.row_key, x.orphan_kind) for x in got.collect()) == [
+        ("file_occurrences", "O2", "late"), ("file_occurrences", "O4", "missing"), ("retrieval_units", "u2", "missing"), ("retrieval_units", "u3", "deleted"), ("retrieval_units", "u5", "late"),
+        ("spec_citations", "c#2", "missing"), ("spec_citations", "c#3", "deleted"), ("spec_citations", "c#6", "missing"),
+    ]
+
+
 def test_orphans_equal_brute_force(spark):
     rng = random.Random(6)
     parents = {f"k{i}": (at(rng.randint(0, 4000)), rng.random() < 0.1) for i in range(300)}
