@@ -39,10 +39,11 @@ def snapshot_changes(manifests: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows ``manifest_id, repo_relative, change_kind`` (added, removed, changed) against the snapshot just before in the series.
 
     Each key is windowed by snapshot index: a lagged hash that differs is a
-    change, an index gap is a removal and a later addition. One shuffle by
-    (series, path) serves the folding of copies and all window functions; the
-    window of a key holds one row per snapshot, whatever the number of keys, so
-    a hot series is spread over its paths.
+    change, an index gap is a removal and a later addition. Copies are folded
+    with map-side combining before anything is shuffled, so an entry delivered
+    very often is one row per input partition; all window functions share one
+    shuffle by (series, path). The window of a key holds one row per snapshot,
+    whatever the number of keys, so a hot series is spread over its paths.
 
     Defined cases: copies and several spellings of a path in one snapshot are
     one entry (the earliest delivery with a hash decides); a null hash is
@@ -52,14 +53,13 @@ def snapshot_changes(manifests: DataFrame, entries: DataFrame) -> DataFrame:
     before; the first of a series yields nothing. Extra columns are ignored.
     """
     series = index_snapshots(manifests)
-    keyed = (
+    entry = (
         entries.where(F.col("repo_relative").isNotNull() & F.col("manifest_id").isNotNull())
         .select("manifest_id", norm_path(F.col("repo_relative")).alias("path"), _packed(norm_hash(F.col("content_hash"))).alias("hash"), "received_at")
-        .join(series, "manifest_id")
-        .drop("manifest_id")
-        .repartition("series", "path")
+        .groupBy("manifest_id", "path")
+        .agg(F.min(F.when(F.col("hash").isNotNull(), F.struct("received_at", "hash"))).getField("hash").alias("hash"))
     )
-    one = keyed.groupBy("series", "path", "idx").agg(F.min(F.when(F.col("hash").isNotNull(), F.struct("received_at", "hash"))).getField("hash").alias("hash"))
+    one = entry.join(series, "manifest_id").select("series", "path", "idx", "hash")
     order = W.partitionBy("series", "path").orderBy("idx")
     starts = F.lag("idx").over(order).eqNullSafe(F.col("idx") - 1) == F.lit(False)
     runs = one.select(
