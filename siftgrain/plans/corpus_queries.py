@@ -48,13 +48,13 @@ def freshness_totals(spark, sf):
 
 
 @query(BASE + """SELECT r.id AS repository_id, r.display_name, count(o.id) AS n_versions, count(DISTINCT o.path) AS n_paths, count(DISTINCT CASE WHEN existence_state = 'present' THEN path END) AS n_present_paths,
-count(CASE WHEN existence_state = 'deleted' THEN 1 END) AS n_deletions, max(occurrence_seq) AS last_seq FROM repositories r LEFT JOIN occ o ON o.repository_id = r.id GROUP BY ALL""")
+count(CASE WHEN existence_state = 'deleted' THEN 1 END) AS n_deletions, coalesce(max(occurrence_seq), -1) AS last_seq FROM repositories r LEFT JOIN occ o ON o.repository_id = r.id GROUP BY ALL""")
 def repository_stats(spark, sf):
     repos = read_table(spark, sf, "repositories", "id", "display_name").select(F.col("id").alias("repository_id"), "display_name")
     o = occurrences(spark, sf, "repository_id", "path", "existence_state", "occurrence_seq")
     return repos.join(o, "repository_id", "left").groupBy("repository_id", "display_name").agg(
         F.count("id").alias("n_versions"), F.count_distinct("path").alias("n_paths"), F.count_distinct(F.when(F.col("existence_state") == "present", F.col("path"))).alias("n_present_paths"),
-        F.count(F.when(F.col("existence_state") == "deleted", 1)).alias("n_deletions"), F.max("occurrence_seq").alias("last_seq"),
+        F.count(F.when(F.col("existence_state") == "deleted", 1)).alias("n_deletions"), F.coalesce(F.max("occurrence_seq"), F.lit(-1)).alias("last_seq"),
     )
 
 
@@ -168,7 +168,7 @@ def disk_against_index(spark, sf):
 @query("""SELECT 'enum:existence_state' AS rule, count(*) FILTER (existence_state NOT IN ('present', 'deleted')) AS n FROM file_occurrences
 UNION ALL SELECT 'enum:freshness_state', count(*) FILTER (freshness_state NOT IN ('CURRENT', 'STALE', 'INVALID', 'UNKNOWN', 'PENDING_REFRESH')) FROM file_occurrences
 UNION ALL SELECT 'not_null:path', count(*) FILTER (path IS NULL) FROM file_occurrences UNION ALL SELECT 'not_null:source_revision_id', count(*) FILTER (source_revision_id IS NULL) FROM file_occurrences
-UNION ALL SELECT 'unique:id', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM file_occurrences GROUP BY id)""")
+UNION ALL SELECT 'unique:id', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM file_occurrences GROUP BY id)""")
 def constraint_violations(spark, sf):
     rows = read_table(spark, sf, "file_occurrences", "id", "path", "existence_state", "freshness_state", "source_revision_id")
     return V.violations(rows, ["id"], {"existence_state": ["present", "deleted"], "freshness_state": list(V.TRANSITIONS)}, ["path", "source_revision_id"])
@@ -241,9 +241,9 @@ def neighbourhood(spark, sf):
   SELECT node, 0 AS depth, []::VARCHAR[] AS path, 1.0::DOUBLE AS min_confidence, true AS ok, [node] AS seen FROM seed
   UNION ALL SELECT e.source, depth + 1, list_append(path, edge_id), least(min_confidence, confidence), ok AND resolved, list_append(seen, e.source) FROM r JOIN e ON e.target = node WHERE depth < 3 AND NOT list_contains(seen, e.source)),
 k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS place FROM r)
-SELECT node, depth, path, min_confidence, CASE WHEN NOT ok THEN 'POSSIBLE_INFERRED' WHEN depth = 1 THEN 'DIRECT_RESOLVED' ELSE 'INDIRECT_RESOLVED' END AS level FROM k WHERE place = 1 AND depth > 0""")
+SELECT node, depth, array_to_string(path, ',') AS path, min_confidence, CASE WHEN NOT ok THEN 'POSSIBLE_INFERRED' WHEN depth = 1 THEN 'DIRECT_RESOLVED' ELSE 'INDIRECT_RESOLVED' END AS level FROM k WHERE place = 1 AND depth > 0""")
 def impact_levels(spark, sf):
-    return G.impact(_edges(spark, sf), _seed(spark, sf), 3)
+    return G.impact(_edges(spark, sf), _seed(spark, sf), 3).withColumn("path", F.array_join("path", ","))
 
 
 @query(_EDGES + ", r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source) SELECT source, target FROM r")
@@ -320,9 +320,11 @@ fused AS (SELECT fusion_key, (list(candidate_id ORDER BY confidence DESC, candid
 """
 
 
-@query(_CANDIDATES + "SELECT * FROM fused")
+@query(_CANDIDATES + "SELECT fusion_key, candidate_id, array_to_string(retrievers, ',') AS retrievers, coalesce(lexical, -1) AS lexical, coalesce(symbol, -1) AS symbol, confidence FROM fused")
 def fuse_candidates(spark, sf):
-    return E.fuse(_candidates(spark, sf))
+    # lists as text and -1 for no signal, so that the result is plain columns
+    fused = E.fuse(_candidates(spark, sf))
+    return fused.select("fusion_key", "candidate_id", F.array_join("retrievers", ",").alias("retrievers"), *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("lexical", "symbol")], "confidence")
 
 
 def _ranked(spark, sf):
@@ -492,9 +494,9 @@ def masked_units(spark, sf):
 # --- telemetry and events -------------------------------------------------
 
 
-@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
 def mode_result_counts(spark, sf):
-    return read_table(spark, sf, "events", "event_type", "ts", "value").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return read_table(spark, sf, "events", "event_type", "ts", "value").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) GROUP BY 1")
@@ -576,13 +578,13 @@ def keyset_page(spark, sf):
     return latest(spark, sf).where("path > 'libs/' AND existence_state = 'present'").orderBy("path", "repository_id").limit(100).select("repository_id", "path", "id")
 
 
-@query(BASE + "SELECT occurrence_id, unit_id, start_line FROM (SELECT occurrence_id, id AS unit_id, start_line, row_number() OVER (PARTITION BY occurrence_id ORDER BY start_line NULLS FIRST, id) AS k FROM un) WHERE k <= 3 AND occurrence_id IS NOT NULL")
+@query(BASE + "SELECT occurrence_id, unit_id, coalesce(start_line, -1) AS start_line FROM (SELECT occurrence_id, id AS unit_id, start_line, row_number() OVER (PARTITION BY occurrence_id ORDER BY start_line NULLS FIRST, id) AS k FROM un) WHERE k <= 3 AND occurrence_id IS NOT NULL")
 def units_per_file_capped(spark, sf):
     from pyspark.sql import Window as W
 
     u = folded(read_table(spark, sf, "retrieval_units", "id", "file_occurrence_id", "start_line"), "id").select(norm_id(F.col("file_occurrence_id")).alias("occurrence_id"), F.col("id").alias("unit_id"), "start_line").where("occurrence_id IS NOT NULL")
     place = F.row_number().over(W.partitionBy("occurrence_id").orderBy(F.asc_nulls_first("start_line"), "unit_id"))
-    return u.withColumn("k", place).where("k <= 3").select("occurrence_id", "unit_id", "start_line")
+    return u.withColumn("k", place).where("k <= 3").select("occurrence_id", "unit_id", F.coalesce("start_line", F.lit(-1)).alias("start_line"))
 
 
 @query(BASE + """, g AS (SELECT DISTINCT repository_id, cited_path AS glob, '^' || replace(replace(replace(replace(cited_path, '.', '\\.'), '**/', '(?:.*/)?'), '*', '[^/]*'), '(?:.[^/]*/)?', '(?:.*/)?') || '$' AS re FROM spec_citations WHERE citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL)

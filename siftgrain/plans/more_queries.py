@@ -125,19 +125,19 @@ def owning_module(spark, sf):
     return files.join(inside, "id", "left").select("id", "path", "module_root")
 
 
-@query(BASE + "SELECT occurrence_id, min(start_line) AS first_line, max(end_line) AS last_line, count(*) AS n_units FROM un WHERE occurrence_id IS NOT NULL GROUP BY 1")
+@query(BASE + "SELECT occurrence_id, coalesce(min(start_line), -1) AS first_line, coalesce(max(end_line), -1) AS last_line, count(*) AS n_units FROM un WHERE occurrence_id IS NOT NULL GROUP BY 1")
 def unit_span_bounds(spark, sf):
     u = folded(read_table(spark, sf, "retrieval_units", "id", "file_occurrence_id", "start_line", "end_line"), "id").withColumn("occurrence_id", norm_id(F.col("file_occurrence_id")))
-    return u.where("occurrence_id IS NOT NULL").groupBy("occurrence_id").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.count("*").alias("n_units"))
+    return u.where("occurrence_id IS NOT NULL").groupBy("occurrence_id").agg(F.coalesce(F.min("start_line"), F.lit(-1)).alias("first_line"), F.coalesce(F.max("end_line"), F.lit(-1)).alias("last_line"), F.count("*").alias("n_units"))
 
 
-@query(BASE + "SELECT sha256(text) AS body, count(*) AS n_units, min(unit_id) AS first_unit, list_sort(list(DISTINCT path))[1:64] AS paths FROM units GROUP BY 1 HAVING count(*) > 1")
+@query(BASE + "SELECT sha256(text) AS body, count(*) AS n_units, min(unit_id) AS first_unit, array_to_string(list_sort(list(DISTINCT path))[1:64], ',') AS paths FROM units GROUP BY 1 HAVING count(*) > 1")
 def shared_bodies(spark, sf):
     """Texts that several units share, with the first 64 of their paths; the distinct paths of a text are collected from map-side sets."""
     grouped = units(spark, sf).groupBy(F.sha2("text", 256).alias("body"), "path").agg(F.count("*").alias("n"), F.min("unit_id").alias("u"))
     place = F.row_number().over(W.partitionBy("body").orderBy("path"))
     ranked = grouped.withColumn("k", place)
-    return ranked.groupBy("body").agg(F.sum("n").alias("n_units"), F.min("u").alias("first_unit"), F.array_sort(F.collect_list(F.when(F.col("k") <= 64, F.col("path")))).alias("paths")).where("n_units > 1")
+    return ranked.groupBy("body").agg(F.sum("n").alias("n_units"), F.min("u").alias("first_unit"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 64, F.col("path")))), ",").alias("paths")).where("n_units > 1")
 
 
 @query("""WITH e AS (SELECT o_custkey AS s, l_suppkey AS t, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)

@@ -44,7 +44,7 @@ for _name, _expression, _condition, _terms in EXPRESSIONS:
 _OR = EXPRESSIONS[0]
 QUERIES |= {
     "search_top_scoped": lambda spark, sf: L.search(units(spark, sf), _OR[1], 10, P.in_scope(F.col("path"), prefix="services")).select("unit_id", "path", "score"),
-    "search_collapse": lambda spark, sf: L.collapse(L.score_units(units(spark, sf), _OR[1])),
+    "search_collapse": lambda spark, sf: L.collapse(L.score_units(units(spark, sf), _OR[1])).withColumn("also_in", F.array_join("also_in", ",")),
     "rrf_merge_repos": lambda spark, sf: L.merge_repositories(L.score_units(units(spark, sf), _OR[1])).select("unit_id", "repository_id", "place", "rrf_score"),
     "term_diagnostics": lambda spark, sf: L.term_diagnostics(units(spark, sf), ["journal", "zzznothing", "voucher", "limit"]),
     "postings": lambda spark, sf: L.postings(units(spark, sf)),
@@ -73,11 +73,11 @@ SQL |= {
     "search_top_scoped": _scored_sql(_OR[2], _OR[3]) + "SELECT unit_id, path, score FROM hits WHERE path = 'services' OR starts_with(path, 'services/') ORDER BY score DESC, unit_id LIMIT 10",
     "search_collapse": _scored_sql(_OR[2], _OR[3]) + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, unit_id) AS place FROM hits)
-SELECT arg_min(unit_id, place) AS unit_id, max(score) AS score, coalesce(list_sort(list(unit_id) FILTER (place > 1 AND place <= 65)), []) AS also_in, greatest(count(*) - 65, 0) AS n_omitted FROM r GROUP BY text""",
+SELECT arg_min(unit_id, place) AS unit_id, max(score) AS score, coalesce(array_to_string(list_sort(list(unit_id) FILTER (place > 1 AND place <= 65)), ','), '') AS also_in, greatest(count(*) - 65, 0) AS n_omitted FROM r GROUP BY text""",
     "rrf_merge_repos": _scored_sql(_OR[2], _OR[3]) + "SELECT unit_id, repository_id, row_number() OVER w AS place, round(1 / (60 + row_number() OVER w), 9) AS rrf_score FROM hits WINDOW w AS (PARTITION BY repository_id ORDER BY score DESC, unit_id) QUALIFY place <= 20",
     "term_diagnostics": f"{BASE}, t AS (SELECT {TOKENS} AS tokens FROM units) SELECT term, (SELECT count(*) FROM t WHERE list_contains(tokens, term)) AS n_units FROM (SELECT unnest(['journal', 'zzznothing', 'voucher', 'limit']) AS term)",
     "postings": f"{BASE}, t AS (SELECT unit_id, unnest({TOKENS}) AS term, generate_subscripts({TOKENS}, 1) - 1 AS position FROM units) SELECT term, unit_id, count(*) AS tf, min(position) AS first_position FROM t GROUP BY ALL",
-    "corpus_stats": f"{BASE} SELECT repository_id, count(*) AS n_units, sum(len({TOKENS})) AS n_tokens FROM units GROUP BY 1",
+    "corpus_stats": f"{BASE} SELECT repository_id, count(*) AS n_units, sum(len({TOKENS}))::BIGINT AS n_tokens FROM units GROUP BY 1",
     "focused_snippet": BASE + r""", l AS (SELECT unit_id, string_split(text, chr(10)) AS rows FROM units WHERE contains(text, 'checksum mismatch')),
 s AS (SELECT unit_id, rows, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS pos FROM l),
 b AS (SELECT unit_id, any_value(rows) AS rows, arg_max(pos, n * 1000000 - pos) AS best FROM (SELECT *, list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'checksum')::INT + list_contains(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 'mismatch')::INT AS n FROM s) GROUP BY unit_id)
@@ -101,5 +101,5 @@ SELECT source_type, CASE WHEN source_type IN ('SOURCE_CODE', 'CONFIGURATION') TH
 SELECT l AS by_path, lower(trim(language)) AS claimed, count(*) AS n FROM occ LEFT JOIN m ON e = lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) GROUP BY ALL""",
     "repo_map_tree": BASE + """, p AS (SELECT repository_id, size_bytes, string_split(path, '/') AS p FROM newest WHERE existence_state <> 'deleted'),
 d AS (SELECT repository_id, size_bytes, p, unnest(generate_series(1, len(p) - 1)) AS depth FROM p)
-SELECT repository_id, depth, array_to_string(p[1:depth], '/') AS directory, count(*) AS n_files, sum(size_bytes) AS n_bytes FROM d GROUP BY ALL""",
+SELECT repository_id, depth, array_to_string(p[1:depth], '/') AS directory, count(*) AS n_files, sum(size_bytes)::BIGINT AS n_bytes FROM d GROUP BY ALL""",
 }
