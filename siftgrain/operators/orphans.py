@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftgrain.functions.keys import norm_id, norm_path
+from siftgrain.session import cut_lineage
 
 #: Keys of one bitmap (4 KiB), as Spark's bitmap functions have it.
 BITS = 32768
@@ -129,8 +130,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     spark = refs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
-    coded = encode_keys(refs, parents, ranges)
-    rows = refs.join(coded, ["ref_table", "key"]).withColumn("period", F.coalesce(month(F.col("ref_first")), F.lit(0)))
+    # both are read several times, so each is written once to the shared checkpoint folder
+    coded = cut_lineage(encode_keys(refs, parents, ranges))
+    rows = cut_lineage(refs.join(coded, ["ref_table", "key"]).withColumn("period", F.coalesce(month(F.col("ref_first")), F.lit(0))).drop("key"))
     known = coded.where(F.col("deleted").isNotNull())
     bits = (
         _bitmaps(rows, "reference", F.col("period"))
