@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.functions.text import count_of, lines, tokens
 from siftgrain.plans.matchquery import parse, positive_terms, predicate
+from siftgrain.session import cut_lineage
 
 #: BM25 constants of the literature.
 K1, B = 1.2, 0.75
@@ -40,6 +41,8 @@ def score_units(units: DataFrame, query: str, implicit: str = "or") -> DataFrame
     tf = lambda i: F.col(f"tf_{i}")
     counted = units.withColumn("tokens", tokens(F.col("text"))).withColumn("dl", F.size("tokens"))
     counted = counted.withColumns({f"tf_{i}": count_of(F.col("tokens"), t) for i, t in enumerate(terms)}).withColumn("matches", predicate(node, F.col("tokens"))).drop("tokens")
+    # statistics and hits both read the counts, so texts are scanned once; only hits keep theirs
+    counted = cut_lineage(counted.withColumn("text", F.when(F.col("matches"), F.col("text"))))
     stats = counted.groupBy(F.col("repository_id").alias("stats_of")).agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(tf(i) > 0, 1)).alias(f"df_{i}") for i in range(len(terms))]
     )
