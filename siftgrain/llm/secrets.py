@@ -36,7 +36,14 @@ _BARE = re.compile(r"(?<![\w\"'`/.+-])[A-Za-z0-9+/_\-!#$%&*?^~@.=]{8,}")
 _USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`<>]+)@")
 _USER_OPTION = re.compile(r"(?:^|\s)(?:-u|--user)[ =]([^\s:\"']+):([^\s\"']+)")
 _HEADER = re.compile(r"(?:Bearer|Token|Basic)\s+([A-Za-z0-9+/=_.\-]{12,})")
-_CONTINUES = re.compile(r"\s*(?:\+|\.|\\)?\s*")
+#: Between two parts of a concatenated string: an operator, or an escaped line end; spaces, line ends and comments around it.
+_GAP = r"(?:\s|(?://|#)[^\n]*\n)*"
+_LINK = re.compile(_GAP + r"\)?(?:\+\+?|\.\.?(?!\w)|\.concat\(|\|\||&|<>|\\)" + _GAP + r"[rRbBuUfF@$]{0,2}(?=[\"'`])")
+#: Without an operator, strings on successive lines are one only where an expression is open.
+_NEXT_LINE = re.compile(r"[ \t]*(?:(?://|#)[^\n]*)?\n\s*[rRbBuUfF]{0,2}(?=[\"'`])")
+_IN_EXPRESSION = re.compile(r"(?:(?<!=)\(|[=,:])\s*[rRbBuUfF]{0,2}\Z")
+#: A line on which a string may go on that starts on it or before it.
+_GOES_ON = re.compile(r"[\"'`]\s*(?:[+.|&<\\)#]|//|$)")
 _OPEN_NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"']?(?:\s*:\s*[&\w<>]+)?\s*(?:[:=]|=>|\()\s*\(?\s*(?:[\\|>]-?)?\s*$|([A-Za-z_]\w*)[\"']?\s*=\s*(?:\w+\()?\(?\s*$")
 #: What a line must have to hold a candidate at all.
 _WORTH = re.compile(r"[A-Za-z_+/!#$%&*?^~-]\d|\d[A-Za-z_+/!#$%&*?^~-]|[A-Za-z]-[A-Za-z]+-[A-Za-z]|[A-Za-z][!#$%&*?^~]\w|A[KS]IA|:[^\s/]+@|(?:-u|--user)[ =]|(?:Bearer|Basic|Token)\s")
@@ -85,54 +92,104 @@ def is_credential(value: str, name: str) -> bool:
     return bool(len(value) <= 32 and re.search(r"\d", value) and _SPECIAL.search(value) and not re.search(r"[/=+|()]", value) and re.search(r"[a-z]", value)) and entropy(value) >= threshold(value, 0.75)
 
 
-def find_credentials(text: str) -> list[tuple[int, int, int]]:
-    """(line from 1, start, end) of each credential value in the text, in order; a value in concatenated strings is given by its first part."""
+def find_credentials(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(line from 1, spans) of each credential value in the text, in order; a value in concatenated strings has the line of its first part and the spans of all of them."""
     found, at, before = [], 0, ""
     spans: list[tuple[int, int]] = []
     keys = [(m.start(), m.end(), m.start(2), m.end(2)) for m in _PRIVATE_WHOLE.finditer(text)] if "PRIVATE KEY" in text else []
+    done: list[tuple[int, int]] = []  # parts of values that began on a line before
     for number, line in enumerate(text.split("\n"), 1):
         if "PRIVATE KEY-----" in line or "PRIVATE KEY BLOCK" in line:
             for begin, end, a, b in keys:
                 if at <= begin <= at + len(line) and not re.match(r"[\s\\n\"']*(?:\[?REDACTED|<|\.\.\.|\*\*\*)", text[a : a + 24]):
-                    found.append((number, a, b))
+                    found.append((number, [(a, b)]))
                     spans.append((begin, end))
-        if len(line) > 7 and _WORTH.search(line) and not any(a < at + len(line) and at < b for a, b in spans):
-            found += [(number, at + a, at + b) for a, b in _in_line(line, before)]
+        done = [x for x in done if x[1] > at]
+        if (len(line) > 7 and _WORTH.search(line) or _GOES_ON.search(line)) and not any(a < at + len(line) and at < b for a, b in spans):
+            for value in _in_line(text, at, line, before, done):
+                found.append((number, value))
+                done += value
         before, at = line, at + len(line) + 1
     return found
 
 
-def _in_line(line: str, before: str) -> list[tuple[int, int]]:
-    taken: list[tuple[int, int]] = []
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+def _parts(text: str, m: re.Match[str]) -> tuple[list[tuple[int, int]], int]:
+    """The spans of the strings that are concatenated to the quoted string ``m``, its own first, over line ends too; and where they end."""
+    spans, end = [m.span(m.lastindex)], m.end()
+    lead = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+    if not lead.strip(" \trRbBuUfF"):
+        lead = text[max(0, m.start() - 200) : m.start()]
+    open_ = _IN_EXPRESSION.search(lead)
+    while (link := _LINK.match(text, end) or open_ and _NEXT_LINE.match(text, end)) and (after := _QUOTED.match(text, link.end())):
+        spans.append(after.span(after.lastindex))
+        end = after.end()
+    return spans, end
+
+
+def _cut(parts: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """The spans that hold characters ``a`` to ``b`` of the joined parts."""
+    out, at = [], 0
+    for x, y in parts:
+        lo, hi = max(a, at), min(b, at + y - x)
+        if lo < hi:
+            out.append((x + lo - at, x + hi - at))
+        at += y - x
+    return out
+
+
+def _user_passwords(line: str) -> Iterator[tuple[int, int]]:
     for pattern, sign in ((_USERINFO, "://"), (_USER_OPTION, "-u")):
         for m in pattern.finditer(line) if sign in line else ():
             if len(m[2]) >= 6 and not _PLACEHOLDER.search(m[2]) and entropy(m[2]) >= 2:
-                taken.append(m.span(2))
+                yield m.span(2)
+
+
+def _header_values(line: str) -> Iterator[tuple[int, int]]:
     for m in _HEADER.finditer(line) if "Bearer" in line or "Token" in line or "Basic" in line else ():
         value = m[1]
-        if free(*m.span(1)) and not _PLACEHOLDER.search(value) and not _UUID.match(value) and entropy(value) >= threshold(value, 0.65) and re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", value):
-            taken.append(m.span(1))
+        if not _PLACEHOLDER.search(value) and not _UUID.match(value) and entropy(value) >= threshold(value, 0.65) and re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", value):
+            yield m.span(1)
+
+
+def _in_line(text: str, at: int, line: str, before: str, done: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The spans of each credential value that begins on the line at ``at``; ``done`` has spans taken before."""
+    taken: list[list[tuple[int, int]]] = []
+    held = [(a - at, b - at) for a, b in done]
+    free = lambda a, b: all(b <= x or y <= a for x, y in held)
+
+    def take(parts: list[tuple[int, int]]) -> None:
+        taken.append(parts)
+        held.extend((a - at, b - at) for a, b in parts)
+
+    quoted = list(_QUOTED.finditer(line))
+    joined = {}
+    for m in quoted:
+        if _GOES_ON.match(line, m.end() - 1):
+            parts, end = _parts(text, _QUOTED.match(text, at + m.start()))
+            if len(parts) > 1:
+                joined[m.start()] = parts, end - at
+    for parts, _ in joined.values():
+        value = "".join(text[a:b] for a, b in parts)
+        for a, b in [*_user_passwords(value), *_header_values(value)]:
+            spans = _cut(parts, a, b)
+            # what begins in a later line is found there
+            if spans[0][0] < at + len(line) and all(free(x - at, y - at) for x, y in spans):
+                take(spans)
+    for a, b in [*_user_passwords(line), *_header_values(line)]:
+        if free(a, b):
+            take([(at + a, at + b)])
     opened = _OPEN_NAME.search(before) if before.rstrip()[-1:] in ("=", ":", "(", "|", ">", "\\", "-") else None
     carried = before[opened.start() :] if opened else ""
     last = -1
-    quoted = list(_QUOTED.finditer(line))
-    for i, m in enumerate(quoted):
+    for m in quoted:
         if m.start() < last:
             continue
-        group = next((g for g in (1, 2, 3) if m[g] is not None), 1)
-        value, end, first = m[group], m.end(), m.span(group)
-        if len(value) < 4:
-            continue
-        for after in quoted[i + 1 :]:  # "a" + "b"
-            link = _CONTINUES.fullmatch(line, end, after.start())
-            if not link or not re.search(r"[+.\\]", line[end : after.start()]):
-                break
-            group = next((g for g in (1, 2, 3) if after[g] is not None), 1)
-            value, end = value + after[group], after.end()
+        parts, end = joined.get(m.start(), ([(at + m.start(m.lastindex), at + m.end(m.lastindex))], m.end()))
+        parts = [x for x in parts if x[0] < x[1]]
+        value = "".join(text[a:b] for a, b in parts)
         name = line[: m.start()] if line[: m.start()].strip(" \t([,{") else carried
-        if free(*first) and is_credential(value, name):
-            taken.append(first)
+        if all(free(a - at, b - at) for a, b in parts) and is_credential(value, name):
+            take(parts)
             last = end
     for m in _BARE.finditer(line):
         inside = any(q.start() < m.end() and m.start() < q.end() for q in quoted)
@@ -147,7 +204,7 @@ def _in_line(line: str, before: str) -> list[tuple[int, int]]:
         else:
             start = m.start()
         if not inside and cue and free(start, start + len(value)) and (ISSUED.match(value) or _PROMISES.search(name) and not re.fullmatch(r"\w+", value) or _HEX.match(value) or _special_bare(value)) and is_credential(value, name):
-            taken.append((start, start + len(value)))
+            take([(at + start, at + start + len(value))])
     return sorted(taken)
 
 
@@ -159,11 +216,11 @@ def redact(text: str, mark: str = "[REDACTED]") -> tuple[str, int]:
     """The text with each credential value replaced by ``mark`` between its quotes, so that the code around it is intact, and their number.
 
     Of a private key its body is replaced, line ends kept; of a value in
-    concatenated strings the first part, which makes it unusable.
+    concatenated strings every part.
     """
     found = find_credentials(text)
     out, at = [], 0
-    for _, a, b in sorted(found, key=lambda x: x[1]):
+    for a, b in sorted(x for _, spans in found for x in spans):
         if a < at:
             continue
         body = text[a:b]
