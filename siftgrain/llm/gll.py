@@ -22,6 +22,10 @@ TOKEN, GROUP, CALL, ZERO = range(4)
 MEMO_LIMIT = 400_000
 
 
+def _begins_line(token):
+    return token < 0 if isinstance(token, int) else token[0] == "\n"
+
+
 class Grammar:
     """A language: EBNF ``rules`` as text, ``reserved`` words that are no identifiers,
     ``classes`` of tokens, ``dialects`` (start symbol by name) and ``lists``.
@@ -30,9 +34,11 @@ class Grammar:
     whose content is an N, ``%nl`` says that a line or the input ends here, and
     ``ANY`` is any token or group.
 
-    ``lists`` maps a nonterminal to (part, last, cut): it derives every sequence
-    of parts followed by a last; ``cut`` splits a token sequence into candidates.
-    If all candidates are derived, so is the whole; if not, the whole is run.
+    ``lists`` maps a nonterminal to (part, last, cut) or (part, last, cut,
+    first): it derives every sequence of a first (else a part), parts and a last;
+    ``cut`` splits a token sequence into candidates. If all candidates are
+    derived, so is the whole; if not, the whole is run. At a cut ``%nl`` holds
+    only if the next candidate begins a line.
 
     ``overrides`` maps a dialect to rules that differ; nonterminals that don't
     reach one are shared with the base grammar.
@@ -50,9 +56,9 @@ class Grammar:
         for name in list(source):
             base, _, dialect = name.partition("~")
             if dialect and base in lists:
-                part, last, cut = lists[base]
+                part, last, cut, *first = lists[base]
                 own = lambda n: f"{n}~{dialect}" if f"{n}~{dialect}" in source else n
-                lists[name] = (own(part), own(last), cut)
+                lists[name] = (own(part), own(last), cut, *map(own, first))
         self.lists = lists
         self.reserved = frozenset(reserved)
         self.classes = {k: frozenset(v) for k, v in (classes or {}).items()}
@@ -209,32 +215,35 @@ class Grammar:
             found = self._matches[token] = frozenset(found)
         return found
 
-    def derives(self, names, tokens):
-        """Those of ``names`` that derive the token sequence."""
+    def derives(self, names, tokens, line_end=True):
+        """Those of ``names`` that derive the token sequence; ``line_end``: a line or the input ends after it."""
         answers = {}
         for name in names:
-            if (name, tokens) in self.memo:
-                answers[name] = self.memo[name, tokens]
+            if (name, tokens, line_end) in self.memo:
+                answers[name] = self.memo[name, tokens, line_end]
         left = [n for n in names if n not in answers]
         for name in list(left):
             if name in self.lists:
-                part, last, cut = self.lists[name]
+                part, last, cut, *first = self.lists[name]
                 pieces = cut(tokens)
                 good = len(pieces) > 1
                 for i, piece in enumerate(pieces):  # no generator: nesting must not use the C stack
                     if not good:
                         break
-                    good = bool(self.derives((part if i + 1 < len(pieces) else last,), piece))
+                    if i + 1 < len(pieces):
+                        good = bool(self.derives((first[0] if first and not i else part,), piece, bool(pieces[i + 1]) and _begins_line(pieces[i + 1][0]) or not pieces[i + 1] and line_end))
+                    else:
+                        good = bool(self.derives((last,), piece, line_end))
                 if good:
-                    answers[name] = self.memo[name, tokens] = True
+                    answers[name] = self.memo[name, tokens, line_end] = True
                     left.remove(name)
         if left:
-            found = self._run(left, tokens)
+            found = self._run(left, tokens, line_end)
             for name in left:
-                answers[name] = self.memo[name, tokens] = name in found
+                answers[name] = self.memo[name, tokens, line_end] = name in found
         return [n for n in names if answers[n]]
 
-    def _run(self, names, seq):
+    def _run(self, names, seq, line_end=True):
         n, edges, final, table = len(seq), self.edges, self.final, self.table
         sets = [frozenset((table[abs(t)][0] + "{", "ANY")) if isinstance(t, int) else self._match(t) for t in seq]
         nodes, returns, pops, work, seen = {}, [], [], [], set()
@@ -280,10 +289,10 @@ class Grammar:
                     if i < n and a in sets[i] and self.derives((b,), table[abs(seq[i])][1]):
                         work.append((to, top, i + 1))
                 elif a == "nl":
-                    if i == n or (seq[i] < 0 if isinstance(seq[i], int) else seq[i][0] == "\n"):
+                    if line_end if i == n else _begins_line(seq[i]):
                         work.append((to, top, i))
                 elif a == "same":
-                    if i < n and not (seq[i] < 0 if isinstance(seq[i], int) else seq[i][0] == "\n"):
+                    if i < n and not _begins_line(seq[i]):
                         work.append((to, top, i))
         return found
 

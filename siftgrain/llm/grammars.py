@@ -361,6 +361,7 @@ Arg = (Expr | Type) '...'?
 
 RUST = """
 File = InnerAttr* Item*
+Items = Item*
 Any = ANY*
 Attr = '#' K{Any}
 InnerAttr = '#' '!' K{Any}
@@ -406,6 +407,9 @@ TypeSeg = PATHWORD ('::'? GenArgs | '::'? P{TypeTuple} ('->' Type)?)?
 GenArgs = '<' (GenArg (',' GenArg)* ','?)? '>'
 GenArg = LIFETIME | Type | ID GenArgs? '=' Type | ID GenArgs? ':' Bounds | '-'? LIT | B{Stmts}
 Stmts = InnerAttr* Stmt* Last?
+StmtsHead = InnerAttr* Stmt*
+StmtsMiddle = Stmt*
+StmtsEnd = Stmt* Last?
 Last = Attr* Expr
 Stmt = ';' | Item | Attr* 'let' Pat (':' Type)? ('=' Expr ('else' B{Stmts})?)? ';' | Attr* Expr ';' | Attr* BlockExpr
 BlockExpr = (LIFETIME ':')? ('unsafe'? B{Stmts} | 'const' B{Stmts} | 'async' 'move'? B{Stmts} | 'loop' B{Stmts} | 'while' Cond B{Stmts} | 'for' Pat 'in' Expr B{Stmts}) | If | 'match' Expr B{Arms} | Path '!' B{Any}
@@ -543,7 +547,7 @@ def grammar(language: str) -> Grammar:
             RUST, {"rust": "File"}, _RUST_WORDS,
             {"UOP": {"-", "!", "*"}, "ASSIGN": {"=", "+=", "-=", "*=", "/=", "%=", "<<=", ">>=", "&=", "|=", "^="}, "LIT": {"NUM", "STR", "CHAR", "true", "false"}, "RANGE": {"..", "..=", "..."},
              "PATHWORD": {"ID", "self", "Self", "super", "crate", *"union auto default safe raw box macro_rules".split()}, "BOP": {"+", "-", "*", "/", "%", "<<", "^", "&", "|", "==", "!=", "<=", ">="}},
-            {"File": ("File", "File", cut_statements), "Stmts": ("Stmts", "Stmts", cut_statements), "Array": ("ArgComma", "Expr", COMMA), "Args": ("ArgComma", "Expr", COMMA)},
+            {"File": ("Items", "Items", cut_statements, "File"), "Stmts": ("StmtsMiddle", "StmtsEnd", cut_statements, "StmtsHead"), "Array": ("ArgComma", "Expr", COMMA), "Args": ("ArgComma", "Expr", COMMA)},
         )
     if language == "json":
         return Grammar(JSON, {"json": "File"}, (), {"CONST": {"true", "false", "null"}}, {"Elems": ("ElemComma", "Value", cut_pairs), "Pairs": ("PairComma", "Pair", cut_pairs)})
