@@ -26,8 +26,18 @@ _PLACEHOLDER = re.compile(
     r"""\$\{|\$\(|\{\{|\}\}|<[^<>]*>|%\(|%s|\bx{4,}\b|x{6,}|\*{3,}|\.{3,}|^env:|^vault:|^ref:|^arn:|^file:|\[?redacted\]?|changeme|change_me|example|placeholder|not-?set|dummy|sample-|your[_-]|todo|none|null|undefined|process\.env|os\.environ|getenv|secretsmanager|^/|^\w+(?:\.\w+)+\(""",
     re.I,
 )
+#: Names of what people choose, which may be a word and a number.
+_CHOSEN = re.compile(r"pass(?:wd|word|phrase|code)(?![a-z])|(?<![a-z])pw(?:d|\b)|pwd", re.I)
+#: Password hashes in crypt format.
+_CRYPT = re.compile(r"\$[\w-]+\$")
+#: What follows a name, not a value.
+_NAMES = re.compile(r"[(\[]|\s*(?::?=(?!=)|:)")
+#: An unquoted value to the line's end, as in .env, shell, YAML and properties files.
+_LITERAL = re.compile(r"\s*(?:-\s+)?(?:(?:export|ENV|ARG|set)\s+)?(?:[A-Z][A-Z0-9_]*=|[\w.-]+:\s+|[a-z][\w-]*(?:\.[\w-]+)+\s*=\s*)\Z")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
+_BASE32 = re.compile(r"[A-Z2-7]+={0,6}\Z")
+_BASE36 = re.compile(r"[a-z0-9]+\Z|[A-Z0-9]+\Z")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}\Z")
 _SPECIAL = re.compile(r"[!#$%&*?^~@]")
 
@@ -59,6 +69,10 @@ def alphabet(s: str) -> tuple[str, int]:
     """The smallest alphabet the string is written in, and its size."""
     if _HEX.match(s):
         return "hex", 16
+    if _BASE32.match(s):
+        return "base32", 32
+    if _BASE36.match(s):
+        return "base36", 36
     if _BASE64.match(s):
         return "base64", 64
     return "printable", 94
@@ -71,7 +85,7 @@ def threshold(s: str, share: float) -> float:
 
 def is_credential(value: str, name: str) -> bool:
     """Whether a string is a usable credential, ``name`` being the code before it on its line, or the open name on the line before."""
-    if not 6 <= len(value) <= 4096 or " " in value or _PLACEHOLDER.search(value):
+    if len(value) < 6 or " " in value or _PLACEHOLDER.search(value) or _CRYPT.match(value):
         return False
     if _UUID.match(value):
         return False
@@ -83,13 +97,29 @@ def is_credential(value: str, name: str) -> bool:
     kind = alphabet(value)[0]
     if kind == "hex" and not value.isalpha():
         return bool(promised) and not denied and len(value) >= 16 and entropy(value) >= threshold(value, 0.75)
-    mixed = re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and (re.search(r"\d", value) or _SPECIAL.search(value) or value.count("-") >= 2)
-    if not mixed or len(value) < 8:
+    if len(value) < 8:
         return False
+    mixed = re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and (re.search(r"\d", value) or _SPECIAL.search(value) or value.count("-") >= 2)
     if promised and not denied:
-        return entropy(value) >= threshold(value, 0.65)
+        return bool(mixed or _one_case(value, name)) and entropy(value) >= threshold(value, 0.65)
     # without a promising name only what has all four kinds of characters, which identifiers and data lack
-    return bool(len(value) <= 32 and re.search(r"\d", value) and _SPECIAL.search(value) and not re.search(r"[/=+|()]", value) and re.search(r"[a-z]", value)) and entropy(value) >= threshold(value, 0.75)
+    return bool(mixed and re.search(r"\d", value) and _SPECIAL.search(value) and not re.search(r"[/=+|()]", value)) and entropy(value) >= threshold(value, 0.75)
+
+
+def _drawn(value: str) -> bool:
+    """Whether a value looks drawn at random: letters and digits follow each other three times or more, in a word with a number at most twice; parts of a snake-case name count one by one."""
+    part = max(value.split("_"), key=len)
+    return len(value) >= 12 and len(part) >= 10 and len(re.findall(r"(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])", part)) >= 3
+
+
+def _one_case(value: str, name: str) -> bool:
+    """Whether a value whose letters have one case, under a promising name, is more than a word, an identifier or a version."""
+    if not (re.search(r"[A-Za-z]", value) and re.search(r"\d", value)):
+        return False
+    if _drawn(value):
+        return True
+    own = re.search(r"[A-Za-z_][\w-]*[\"'\]]*\s*(?::[^:=]*)?(?::|=|=>|\()?\s*\Z", name)
+    return bool(own and _CHOSEN.search(own[0]) and (value.isalnum() or _SPECIAL.search(value)))
 
 
 def find_credentials(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -203,7 +233,11 @@ def _in_line(text: str, at: int, line: str, before: str, done: list[tuple[int, i
             value = value[eq + 1 :]
         else:
             start = m.start()
-        if not inside and cue and free(start, start + len(value)) and (ISSUED.match(value) or _PROMISES.search(name) and not re.fullmatch(r"\w+", value) or _HEX.match(value) or _special_bare(value)) and is_credential(value, name):
+        stop = start + len(value)
+        # a word in code is a variable, unless it looks drawn at random; in settings it is the value itself
+        literal = _LITERAL.match(line[:start]) and not line[stop:].strip() and not re.fullmatch(r"\$\w+", value)
+        promised = _PROMISES.search(name) and (literal or not re.fullmatch(r"\w+", value) or _drawn(value) and not _NAMES.match(line, stop))
+        if not inside and cue and free(start, stop) and (ISSUED.match(value) or promised or _HEX.match(value) or _special_bare(value)) and is_credential(value, name):
             take([(at + start, at + start + len(value))])
     return sorted(taken)
 
