@@ -102,6 +102,27 @@ def adjacent_conflicts(rows: DataFrame, key: list[str], value: str, order: list[
     return seen.where(F.col("before_id").isNotNull() & (F.col("before_value") != F.col(value))).select(*key, "before_id", "id")
 
 
+def stated_values(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` without ``text``, with ``key, value``: each distinct key = value or key: value that a line of the text states.
+
+    Every line counts. Keys of more than three words, and empty keys and values,
+    are none; quotes and commas around a value are no part of it.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^[ \t\r\f]+|[ \t\r\f]+$", "")
+    rest = [c for c in rows.columns if c != text]
+    lines = rows.select(*rest, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike("[=:]"))
+    pairs = lines.select(*rest, trim(F.regexp_extract("line", r"(?s)^([^=:]*)[=:](.*)$", 1)).alias("key"), F.regexp_replace(trim(F.regexp_extract("line", r"(?s)^([^=:]*)[=:](.*)$", 2)), r"""^["',]+|["',]+$""", "").alias("value"))
+    return pairs.where("key <> '' AND value <> ''").where(~(F.col("key").contains(" ") & F.col("key").rlike(r"[^ \t]+([ \t]+[^ \t]+){3}"))).distinct()
+
+
+def conflicting_values(stated: DataFrame) -> DataFrame:
+    """``key, before_id, id, before_path, path``: files next to each other by path and id that state one key with other values; keys in lower case. A file has all its values, ``stated`` has ``id, path, key, value``."""
+    files = stated.groupBy(F.lower("key").alias("key"), "path", "id").agg(F.sort_array(F.collect_set("value")).alias("held"))
+    w = W.partitionBy("key").orderBy("path", "id")
+    seen = files.select("*", *[F.lag(c).over(w).alias(f"before_{c}") for c in ("id", "path", "held")])
+    return seen.where((F.col("before_path") != F.col("path")) & (F.col("before_held") != F.col("held"))).select("key", "before_id", "id", "before_path", "path")
+
+
 def floors(scored: DataFrame, by: list[str]) -> DataFrame:
     """Rows above the soft floor of their group with ``tier``: primary from max(0.65 top, 0.20), secondary from max(0.35 top, 0.15)."""
     top = F.max("score").over(W.partitionBy(*by))

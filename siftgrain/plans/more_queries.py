@@ -60,6 +60,28 @@ def knowledge_contradictions(spark, sf):
     return said.join(facts.where("NOT known"), ["repository_id", "fact"]).where("said <> value").groupBy("repository_id", "fact", "knowledge_path").agg(F.count_distinct("path").alias("n_conflicts"))
 
 
+_KIND = r"""CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/') THEN 'KNOWLEDGE' WHEN regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|test_|_test\.|tests?\.(java|kt|scala|cs)$|\.(test|spec)\.') THEN 'TEST'
+  WHEN regexp_matches(lower(path), '\.(md|markdown|rst|adoc|txt)$') THEN 'DOCUMENTATION' WHEN regexp_matches(lower(path), '\.(ya?ml|toml|json|ini|properties|conf|xml)$') THEN 'CONFIGURATION' WHEN regexp_matches(lower(path), '(^|/)(generated|autogen|gen)/') THEN 'GENERATED_SOURCE' ELSE 'SOURCE_CODE' END"""
+_TRIMMED = r"regexp_replace({0}, '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g')"
+_PAIR = r"regexp_extract(line, '(?s)^([^=:]*)[=:](.*)$', {0})"
+_STATED = rf"""stated AS (SELECT DISTINCT id, repository_id, path, kind, freshness_state, key, value FROM (
+  SELECT *, {_TRIMMED.format(_PAIR.format(1))} AS key, regexp_replace({_TRIMMED.format(_PAIR.format(2))}, '^["'',]+|["'',]+$', '', 'g') AS value FROM lines WHERE regexp_matches(line, '[=:]'))
+  WHERE key <> '' AND value <> '' AND NOT (contains(key, ' ') AND regexp_matches(key, '[^ \t]+([ \t]+[^ \t]+){{3}}')))"""
+
+
+@query(BASE + rf""", lines AS (SELECT n.id, n.repository_id, n.path, {_KIND.replace("path", "n.path")} AS kind, n.freshness_state, unnest(string_split(c.content, chr(10))) AS line
+  FROM newest n JOIN (SELECT file_occurrence_id, any_value(content) AS content FROM file_contents GROUP BY 1) c ON c.file_occurrence_id = n.id WHERE n.existence_state = 'present'),
+{_STATED},
+g AS (SELECT lower(key) AS key, path, id, list(DISTINCT value ORDER BY value) AS held FROM stated WHERE kind = 'CONFIGURATION' AND freshness_state = 'CURRENT' GROUP BY ALL),
+w AS (SELECT *, lag(id) OVER k AS before_id, lag(path) OVER k AS before_path, lag(held) OVER k AS before_held FROM g WINDOW k AS (PARTITION BY key ORDER BY path, id))
+SELECT key, before_id, id, before_path, path FROM w WHERE before_path <> path AND before_held <> held""")
+def conflicting_config(spark, sf):
+    """Keys that CURRENT configuration files next to each other give different values, over whole texts and all repositories."""
+    texts = read_table(spark, sf, "file_contents", "file_occurrence_id", "content").withColumnRenamed("file_occurrence_id", "id").dropDuplicates(["id"])
+    files = latest(spark, sf).where("existence_state = 'present' AND freshness_state = 'CURRENT'").where(source_type(F.col("path")) == "CONFIGURATION").select("id", "path")
+    return E.conflicting_values(E.stated_values(files.join(texts, "id"), "content"))
+
+
 @query(BASE + "SELECT unit_id, occurrence_id FROM units u WHERE freshness_state = 'STALE' AND NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = u.occurrence_id)")
 def superseded_stale(spark, sf):
     """Stale units of versions that a newer one has replaced."""
