@@ -123,6 +123,19 @@ def conflicting_values(stated: DataFrame) -> DataFrame:
     return seen.where((F.col("before_path") != F.col("path")) & (F.col("before_held") != F.col("held"))).select("key", "before_id", "id", "before_path", "path")
 
 
+def denied_statements(said: DataFrame, held: DataFrame) -> DataFrame:
+    """``repository_id, key, said_path, n_conflicts``: in how many paths of its repository ``held`` gives a key of ``said`` another value.
+
+    Both have ``repository_id, path, key, value``. A path that begins the
+    stating one (a file and the note beside it) is no conflict. The pairs are
+    counted, never listed.
+    """
+    other = held.select("repository_id", "key", F.col("path").alias("held_path"), F.col("value").alias("held_value"))
+    own = F.regexp_replace(F.regexp_replace("held_path", "/+$", ""), r"(\.md)+$", "")
+    pairs = said.join(other, ["repository_id", "key"]).where((F.col("value") != F.col("held_value")) & ~F.col("path").startswith(own))
+    return pairs.groupBy("repository_id", "key", F.col("path").alias("said_path")).agg(F.count_distinct("held_path").alias("n_conflicts"))
+
+
 def floors(scored: DataFrame, by: list[str]) -> DataFrame:
     """Rows above the soft floor of their group with ``tier``: primary from max(0.65 top, 0.20), secondary from max(0.35 top, 0.15)."""
     top = F.max("score").over(W.partitionBy(*by))

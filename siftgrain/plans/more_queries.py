@@ -82,6 +82,18 @@ def conflicting_config(spark, sf):
     return E.conflicting_values(E.stated_values(files.join(texts, "id"), "content"))
 
 
+@query(BASE + rf""", lines AS (SELECT unit_id AS id, repository_id, path, {_KIND} AS kind, freshness_state, unnest(string_split(text, chr(10))) AS line FROM units),
+{_STATED}
+SELECT a.repository_id, a.key, a.path AS said_path, count(DISTINCT b.path) AS n_conflicts FROM stated a JOIN stated b ON a.repository_id = b.repository_id AND a.key = b.key AND a.value <> b.value
+WHERE a.kind IN ('KNOWLEDGE', 'DOCUMENTATION') AND b.kind IN ('SOURCE_CODE', 'CONFIGURATION') AND b.freshness_state = 'CURRENT' AND NOT starts_with(a.path, regexp_replace(regexp_replace(b.path, '/+$', ''), '(\.md)+$', '')) GROUP BY 1, 2, 3""")
+def knowledge_conflicts(spark, sf):
+    """Any key and value of knowledge notes and documentation against CURRENT source and configuration of the repository."""
+    stated = E.stated_values(units(spark, sf).select("repository_id", "path", source_type(F.col("path")).alias("kind"), "freshness_state", "text"), "text")
+    said = stated.where("kind IN ('KNOWLEDGE', 'DOCUMENTATION')").select("repository_id", "path", "key", "value").distinct()
+    held = stated.where("kind IN ('SOURCE_CODE', 'CONFIGURATION') AND freshness_state = 'CURRENT'").select("repository_id", "path", "key", "value").distinct()
+    return E.denied_statements(said, held)
+
+
 @query(BASE + "SELECT unit_id, occurrence_id FROM units u WHERE freshness_state = 'STALE' AND NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = u.occurrence_id)")
 def superseded_stale(spark, sf):
     """Stale units of versions that a newer one has replaced."""
