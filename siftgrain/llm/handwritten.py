@@ -41,23 +41,30 @@ _COMMENT = re.compile(r"\s*(?://|#(?!\[|!\[)|/?\*|--|;|<!--|\"\"\"|''')")
 _LITERAL_LINE = re.compile(r"[\s\[\](){},;]*(?:(?:-?(?:0x[0-9a-fA-F]+|\d[\d_.eE+-]*)|\"[^\"\s]{24,}\"|'[^'\s]{24,}')[\s\[\](){},;]*)+\Z")
 
 
-def head_of(text: str) -> str:
-    """The leading comment lines (of the first eight, after a byte-order mark and a shebang), block comments and docstrings included."""
-    lines, closing = [], ""
-    for line in text.removeprefix("\ufeff").splitlines()[:8]:
+def _apart(text: str) -> tuple[str, str]:
+    """The leading comments and the rest of the text, byte-order mark and shebang in neither."""
+    head, rest, closing = [], [], ""
+    lines = text.removeprefix("\ufeff").splitlines(keepends=True)
+    for k, line in enumerate(lines):
         plain = line.strip()
         if closing:
             closing = "" if closing in plain else closing
-        elif line.startswith("#!"):
+        elif line.startswith("#!") and not k:
             continue
         elif plain and not _COMMENT.match(line):
+            rest = lines[k:]
             break
         else:
             for mark, end in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''")):
                 if plain.startswith(mark) and end not in plain[len(mark) :]:
                     closing = end
-        lines.append(line)
-    return "\n".join(lines)
+        head.append(line)
+    return "".join(head), "".join(rest)
+
+
+def head_of(text: str) -> str:
+    """The whole run of leading comments, docstrings and blank lines up to the first line of code, however long; block comments included."""
+    return _apart(text)[0]
 
 
 def evidence(path: str, text: str) -> set[str]:
