@@ -68,7 +68,9 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """``repository_id, path, language, specifier`` of the imports, each once per file."""
-    rows = _lines(files).withColumn("specifier", _by_language(IMPORTS, 1)).where(F.col("specifier") != "")
+    first = _by_language(IMPORTS, 1)
+    included = F.regexp_extract("line", IMPORTS["php"], 2)  # use is group 1, include and require are group 2
+    rows = _lines(files).withColumn("specifier", F.when((F.col("by_path") == "php") & (first == ""), included).otherwise(first)).where(F.col("specifier") != "")
     return rows.select("repository_id", "path", F.col("by_path").alias("language"), "specifier").distinct()
 
 
