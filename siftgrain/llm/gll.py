@@ -252,8 +252,8 @@ class Grammar:
             key = (name, at)
             if key not in nodes:
                 nodes[key] = len(returns)
-                returns.append([])
-                pops.append([])
+                returns.append({})
+                pops.append({})
                 work.append((self.entry[name], nodes[key], at))
             return nodes[key]
 
@@ -266,7 +266,7 @@ class Grammar:
             seen.add(item)
             state, top, i = item
             if final[state] and i not in pops[top]:
-                pops[top].append(i)
+                pops[top][i] = None
                 if i == n and top in roots:
                     found.add(roots[top])
                     if len(found) == len(roots):
@@ -282,7 +282,7 @@ class Grammar:
                         continue
                     child = node(a, i)
                     if (to, top) not in returns[child]:
-                        returns[child].append((to, top))
+                        returns[child][to, top] = None
                         for j in pops[child]:
                             work.append((to, top, j))
                 elif kind == GROUP:

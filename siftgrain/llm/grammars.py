@@ -515,7 +515,7 @@ def grammar(language: str) -> Grammar:
             PYTHON, {"python3": "File", "python2": "File"}, _PY_WORDS,
             {"CONST": {"None", "True", "False"}, "BOP": {"+", "-", "*", "/", "//", "%", "@", "&", "|", "^", "<<", ">>", "**"}, "UOP": {"+", "-", "~"},
              "CMP": {"<", ">", "<=", ">=", "==", "!=", "<>"}, "AUG": {"+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", "<<=", ">>=", "**="}},
-            {"Stmts": ("Stmts", "Stmts", cut_python), "Suite": ("Stmts", "Stmts", cut_python), "ListBody": ("ElemComma", "Star", COMMA), "ParenBody": ("ElemComma", "Star", COMMA), "DictBody": ("PairComma", "Pair", COMMA), "Args": ("ArgComma", "Arg", COMMA)},
+            {"File": ("Stmts", "Stmts", cut_python), "Stmts": ("Stmts", "Stmts", cut_python), "Suite": ("Stmts", "Stmts", cut_python), "ListBody": ("ElemComma", "Star", COMMA), "ParenBody": ("ElemComma", "Star", COMMA), "DictBody": ("PairComma", "Pair", COMMA), "Args": ("ArgComma", "Arg", COMMA)},
             {"python2": PYTHON_2},
         )
     if language in ("javascript", "typescript"):
@@ -540,7 +540,7 @@ def grammar(language: str) -> Grammar:
             GO, {"go": "File"}, _GO_WORDS,
             {"UOP": {"+", "-", "!", "^", "*", "&", "<-"}, "ASSIGN": {"=", "+=", "-=", "*=", "/=", "%=", "<<=", ">>=", "&=", "|=", "^=", "&^="},
              "BOP": {"+", "-", "*", "/", "%", "<<", ">>", "&", "|", "^", "&^", "&&", "||", "==", "!=", "<", "<=", ">", ">="}},
-            {"Stmts": ("StmtSemi", "Stmt", cut_after(";")), "Elems": ("ElemComma", "Elem", COMMA), "Args": ("ArgComma", "Arg", COMMA)},
+            {"Stmts": ("StmtSemi", "Stmts", cut_after(";")), "Elems": ("ElemComma", "Elem", COMMA), "Args": ("ArgComma", "Arg", COMMA)},
         )
     if language == "rust":
         return Grammar(
