@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import math
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,48 +46,57 @@ def token_lengths(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
-def combinations(lengths: list[int], capacity: int) -> list[dict[int, int]]:
-    """Shallow multisets of the lengths that fill a window exactly, or nearly where none is exact: a length repeated, completed by one or two others."""
-    present, out, seen = set(lengths), [], set()
-    ordered = sorted(present)
-
-    def below(x: int) -> int:
-        at = bisect_right(ordered, x)
-        return ordered[at - 1] if at else 0
-
-    def add(*parts: tuple[int, int]) -> None:
-        combo: Counter = Counter()
-        for length, n in parts:
-            if length and n:
-                combo[length] += n
-        key = tuple(sorted(combo.items()))
-        if key and key not in seen:
-            seen.add(key)
-            out.append(dict(key))
-
-    for a in ordered:
-        most = capacity // a
-        for n in dict.fromkeys((most, most - 1, (most + 1) // 2)):
-            if n <= 0:
-                continue
-            left = capacity - n * a
-            if left in present or not left:
-                add((a, n), (left, 1))
-                continue
-            done = 0
-            for b in dict.fromkeys((below(left), below(left // 2), below(left // 3), below(left * 2 // 3))):
-                if not b:
-                    continue
-                m = max(1, (left // b) - (0 if left % b in present or not left % b else 1)) if b * 2 <= left else 1
-                rest = left - m * b
-                if rest == 0 or rest in present:
-                    add((a, n), (b, m), (rest, 1))
-                    done += 1
-                if done == 2:
+#: Combinations tried for each length, and rounds of enumerating, solving and rounding.
+VARIANTS = 3
+ROUNDS = 6
+
+
+def combinations(histogram: dict[int, int], capacity: int, variants: int = VARIANTS) -> list[dict[int, int]]:
+    """Shallow multisets of the lengths that fill a window exactly and hold no length more often than there are items of it.
+
+    Each begins with one length and takes others at quantiles spread evenly over
+    the items (so that together they resemble the histogram) until what is left
+    is completed by one length or by two.
+    """
+    ordered = sorted(histogram)
+    counts = list(accumulate(histogram[k] for k in ordered))
+    typical = max(1, sum(k * v for k, v in histogram.items()) // counts[-1])
+    out, seen, turn = [], set(), 0.0
+    for a in reversed(ordered):
+        for _ in range(variants):
+            combo, room = {a: 1}, capacity - a
+            free = lambda k, n=1: histogram.get(k, 0) - combo.get(k, 0) >= n  # noqa: B023, E731
+            while room:
+                if free(room):
+                    combo[room] = combo.get(room, 0) + 1
+                    room = 0
                     break
-            if not done:
-                b = below(left)
-                add((a, n), (b, 1), (below(left - b), 1))
+                if room <= 3 * typical or room <= 2 * ordered[-1] and len(combo) > 8:
+                    at = bisect_right(ordered, room // 2)
+                    pair = next((k for k in reversed(ordered[max(0, at - 64) : at]) if (free(k) and free(room - k) if k * 2 != room else free(k, 2))), None)
+                    if pair:
+                        for k in (pair, room - pair):
+                            combo[k] = combo.get(k, 0) + 1
+                        room = 0
+                        break
+                fits = bisect_right(ordered, room)
+                if not fits:
+                    break
+                turn = (turn + 0.6180339887498949) % 1.0
+                at = bisect_right(counts, turn * counts[fits - 1], 0, fits - 1)
+                while at >= 0 and not free(ordered[at]):
+                    at -= 1
+                if at < 0:
+                    break
+                k = ordered[at]
+                # many tiny items go in as a run
+                n = min(histogram[k] - combo.get(k, 0), room // k, max(1, room // (16 * k)))
+                combo[k] = combo.get(k, 0) + n
+                room -= n * k
+            key = tuple(sorted(combo.items()))
+            if not room and key not in seen:
+                seen.add(key)
+                out.append(combo)
     return out
 
 
@@ -109,25 +120,39 @@ def solve(combos: list[dict[int, int]], histogram: dict[int, int], sweeps: int =
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(items by length, repeats) such that every item of the histogram is in a window and none is overfull.
+def fitted(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """(full windows by items and repeats, what is left of the histogram): enumerated combinations, repeat counts by non-negative least squares, rounded.
+
+    A count is rounded up as far as the items go, the greatest first; what
+    rounding leaves over is enumerated and solved again, a few times at most.
+    """
+    left = {k: v for k, v in histogram.items() if k > 0 and v > 0}
+    out = []
+    for _ in range(rounds):
+        combos = combinations(left, capacity) if left else []
+        if not combos:
+            break
+        counts = solve(combos, left)
+        for j in np.argsort(-counts, kind="stable"):
+            repeats = min([math.ceil(counts[j] - 1e-9), *(left.get(k, 0) // n for k, n in combos[j].items())])
+            if repeats > 0:
+                for k, n in combos[j].items():
+                    left[k] -= n * repeats
+                out.append((combos[j], repeats))
+        left = {k: v for k, v in left.items() if v}
+    return out, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """((items by length, repeats), number of fitted windows) such that every item of the histogram is in a window and none is overfull; the fitted windows come first.
 
     The work depends on the number of distinct lengths, at most the capacity,
     never on the number of items: the greedy rest repeats each filling as often
     as the counts allow, which uses up a length every time.
     """
-    left = {k: v for k, v in histogram.items() if k > 0 and v > 0}
-    out = []
-    combos = combinations(list(left), capacity)
-    counts = solve(combos, left) if combos else np.zeros(0)
-    fill = lambda c: sum(k * n for k, n in c.items())
-    for j in sorted(range(len(combos)), key=lambda j: -fill(combos[j])):
-        repeats = min([int(counts[j]), *(left[k] // n for k, n in combos[j].items())])
-        if repeats > 0 and fill(combos[j]) >= capacity - 8:
-            for k, n in combos[j].items():
-                left[k] -= n * repeats
-            out.append((combos[j], repeats))
-    ordered = sorted(k for k, v in left.items() if v)
+    out, left = fitted(histogram, capacity)
+    n_fitted = sum(repeats for _, repeats in out)
+    ordered = sorted(left)
     while ordered:
         room, at, combo = capacity, len(ordered), {}
         while at and room >= ordered[0]:
@@ -143,11 +168,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
             left[k] -= n * repeats
         out.append((combo, repeats))
         ordered = [k for k in ordered if left[k]]
-    return out
+    return out, n_fitted
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece_no, window_id, window_offset, start_token, n_tokens``: where each text lies.
+    """``doc_id, piece_no, window_id, window_offset, start_token, n_tokens, fitted``: where each text lies; ``fitted`` says that least squares filled the window, not the greedy rest.
 
     ``lengths`` has ``doc_id, n_tokens``. A text longer than the capacity is cut
     into full windows and a rest; no other is cut. The histogram of lengths, at
@@ -174,7 +199,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("within", within).join(offsets, ["n_tokens", "salt"]).withColumn("rank", F.col("first") + F.col("within"))
 
     starts, taken, window = [], Counter(), 0
-    for combo, repeats in plan(histogram, capacity):
+    windows, n_fitted = plan(histogram, capacity)
+    for combo, repeats in windows:
         offset = 0
         for k, n in sorted(combo.items(), reverse=True):
             starts.append((k, taken[k], window, n, offset))
@@ -195,11 +221,11 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(keys, n * span + rank, "right") - 1
             _, first, base, copies, offset = rows[at].T
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "piece_no": pdf["piece_no"], "window_id": base + (rank - first) // copies,
-                "window_offset": (offset + (rank - first) % copies * n).astype(np.int32), "start_token": pdf["start_token"], "n_tokens": pdf["n_tokens"],
+                "doc_id": pdf["doc_id"], "piece_no": pdf["piece_no"], "window_id": (window_id := base + (rank - first) // copies),
+                "window_offset": (offset + (rank - first) % copies * n).astype(np.int32), "start_token": pdf["start_token"], "n_tokens": pdf["n_tokens"], "fitted": window_id < n_fitted,
             })
 
-    return ranked.select("doc_id", "piece_no", "start_token", "n_tokens", "rank").mapInPandas(place, "doc_id bigint, piece_no int, window_id bigint, window_offset int, start_token bigint, n_tokens int")
+    return ranked.select("doc_id", "piece_no", "start_token", "n_tokens", "rank").mapInPandas(place, "doc_id bigint, piece_no int, window_id bigint, window_offset int, start_token bigint, n_tokens int, fitted boolean")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -210,7 +236,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``n_windows, n_tokens, filled``: the share of the windows' room that is used."""
-    windows = packed.groupBy("window_id").agg(F.sum("n_tokens").alias("used"))
-    total = windows.agg(F.count("*").alias("n_windows"), F.sum("used").alias("n_tokens"))
+    """``n_windows, n_fitted, n_tokens, filled``: windows, those that least squares filled, and the share of the windows' room that is used."""
+    windows = packed.groupBy("window_id").agg(F.sum("n_tokens").alias("used"), F.max("fitted").alias("fitted"))
+    total = windows.agg(F.count("*").alias("n_windows"), F.count(F.when(F.col("fitted"), 1)).alias("n_fitted"), F.sum("used").alias("n_tokens"))
     return total.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_windows") * capacity), 6))
