@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from siftgrain.functions.keys import norm_id, norm_path
 from siftgrain.session import cut_lineage
 
-#: Keys of one bitmap (4 KiB), as Spark's bitmap functions have it.
-BITS = 32768
+#: Keys of one bitmap; a compressed one is at most 8 KiB.
+BITS = 65536
+#: Up to so many positions a bitmap is an array of them.
+ARRAY_LIMIT = 4096
+#: The period of a reference without a time, after all others: it is never late.
+UNDATED = 2_000_000_000
+
+
+def _month(column: str) -> Column:
+    return (F.year(column) * 12 + F.month(column)).cast("int")
 
 
 def _first_seen(rows: DataFrame) -> DataFrame:
@@ -71,46 +79,84 @@ def corpus_parents(occurrences: DataFrame, revisions: DataFrame, repositories: D
 
 
 def encode_keys(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
-    """The dictionary: every key of ``refs`` and ``parents`` as (``span``, ``code``), with the parent's columns.
+    """``ref_table, key, period, kind, first, span, code``: the dictionary applied to both sides, in one pass.
 
-    A key's range is its hash, its code the rank within the range, from 1; so
-    codes are dense and no range is larger than its share of the keys.
+    Every key of ``refs`` (per period, with the first reference of that period)
+    and of ``parents`` (kind ``parent`` or ``gone``) is a row. A key's range
+    (``span``) is its hash, its ``code`` its dense rank within the range, from
+    0: codes are dense, no range is larger than its share of the keys, and no
+    join is needed to code either side.
     """
-    keys = (
-        refs.select("ref_table", "key", F.lit(None).cast("timestamp_ntz").alias("parent_first"), F.lit(None).cast("boolean").alias("deleted"))
-        .union(parents.select("ref_table", "key", "parent_first", "deleted"))
-        .groupBy("ref_table", "key")
-        .agg(F.min("parent_first").alias("parent_first"), F.max("deleted").alias("deleted"))
-        .withColumn("span", F.pmod(F.xxhash64("ref_table", "key"), F.lit(ranges)).cast("int"))
-    )
-    return keys.withColumn("code", F.row_number().over(W.partitionBy("ref_table", "span").orderBy("key")).cast("bigint"))
+    said = refs.groupBy("ref_table", "key", F.coalesce(_month("ref_first"), F.lit(UNDATED)).alias("period")).agg(F.min("ref_first").alias("first"))
+    held = parents.select("ref_table", "key", F.coalesce(_month("parent_first"), F.lit(-1)).alias("period"), F.when(F.col("deleted"), "gone").otherwise("parent").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("first"))
+    rows = said.select("ref_table", "key", "period", F.lit("reference").alias("kind"), "first").union(held).withColumn("span", F.pmod(F.xxhash64("ref_table", "key"), F.lit(ranges)).cast("int"))
+    return rows.withColumn("code", (F.dense_rank().over(W.partitionBy("ref_table", "span").orderBy("key")) - 1).cast("bigint"))
 
 
-def _bitmaps(rows: DataFrame, kind: str, period: Column) -> DataFrame:
-    return (
-        rows.groupBy("ref_table", "span", F.expr("bitmap_bucket_number(code)").alias("bucket"), period.alias("period"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code))").alias("bits"))
-        .withColumn("kind", F.lit(kind))
-    )
+def pack_bits(positions: np.ndarray) -> bytes:
+    """A compressed bitmap of positions below BITS: a sorted array of 16-bit numbers where they are few, else the bits themselves."""
+    positions = np.unique(positions)
+    if len(positions) <= ARRAY_LIMIT:
+        return b"a" + positions.astype("<u2").tobytes()
+    bits = np.zeros(BITS, bool)
+    bits[positions] = True
+    return b"b" + np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpack_bits(packed: bytes) -> np.ndarray:
+    """The bitmap as BITS booleans."""
+    if packed[:1] == b"b":
+        return np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little").astype(bool)
+    bits = np.zeros(BITS, bool)
+    bits[np.frombuffer(packed, "<u2", offset=1)] = True
+    return bits
 
 
-def _suspects(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: reference AND NOT parents received in earlier periods, or AND deleted; surviving bits decoded."""
+def key_bitmaps(coded: DataFrame) -> DataFrame:
+    """``ref_table, span, bucket, kind, period, bits``: a compressed bitmap of codes per range, kind and period.
+
+    A group holds each of its at most BITS codes once per period, so its size is
+    bounded by the months of the data, whatever the references; it needs no
+    shuffle beyond that of the codes.
+    """
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        rows = [(head["ref_table"], head["span"], head["bucket"], kind, period, pack_bits(part["code"].to_numpy() % BITS)) for (kind, period), part in pdf.groupby(["kind", "period"])]
+        return pd.DataFrame(rows, columns=["ref_table", "span", "bucket", "kind", "period", "bits"])
+
+    rows = coded.select("ref_table", "span", (F.col("code") / BITS).cast("int").alias("bucket"), "kind", "period", "code")
+    return rows.groupBy("ref_table", "span", "bucket").applyInPandas(build, "ref_table string, span int, bucket int, kind string, period int, bits binary")
 
-    def merged(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros(BITS // 8, np.uint8)
-        for bits in rows["bits"]:
-            out |= np.frombuffer(bits, np.uint8)
-        return out
 
-    parents, gone = pdf[pdf["kind"] == "parent"], merged(pdf[pdf["kind"] == "deleted"])
+def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: reference AND NOT parent, with the codes of surviving bits.
+
+    ``missing``: AND NOT any parent; ``deleted``: AND a deleted parent; ``late``:
+    AND NOT any parent of this or an earlier period; ``same``: the parent came in
+    the same period, which bits cannot order.
+    """
+    nothing = np.zeros(BITS, bool)
     head, found = pdf.iloc[0], []
-    for period, refs in pdf[pdf["kind"] == "reference"].groupby("period"):
-        bits = merged(refs)
-        left = (bits & ~merged(parents[parents["period"] < period])) | (bits & gone)
-        codes = np.flatnonzero(np.unpackbits(left, bitorder="little")) + 1 + (int(head["bucket"]) - 1) * BITS
-        found.append(pd.DataFrame({"ref_table": head["ref_table"], "span": np.int32(head["span"]), "code": codes, "period": np.int32(period)}))
-    return pd.concat(found) if found else pd.DataFrame({"ref_table": pd.Series([], dtype=str), "span": np.zeros(0, np.int32), "code": np.zeros(0, np.int64), "period": np.zeros(0, np.int32)})
+    gone, known = nothing.copy(), {}
+    for kind, period, bits in zip(pdf["kind"], pdf["period"], pdf["bits"]):
+        if kind != "reference":
+            known[period] = known.get(period, nothing) | unpack_bits(bits)
+            if kind == "gone":
+                gone |= unpack_bits(bits)
+    parents = np.logical_or.reduce([nothing, *known.values()])
+    earlier, waiting = nothing.copy(), sorted(known)
+    for period, bits in sorted((p, b) for k, p, b in zip(pdf["kind"], pdf["period"], pdf["bits"]) if k == "reference"):
+        while waiting and waiting[0] < period:
+            earlier |= known[waiting.pop(0)]
+        refs = unpack_bits(bits)
+        same = known.get(period, nothing)
+        alive = refs & parents & ~gone
+        for state, left in (("missing", refs & ~parents), ("deleted", refs & gone), ("late", alive & ~earlier & ~same), ("same", alive & same)):
+            codes = np.flatnonzero(left) + int(head["bucket"]) * BITS
+            if len(codes):
+                found.append(pd.DataFrame({"ref_table": head["ref_table"], "span": np.int32(head["span"]), "code": codes, "period": np.int32(period), "state": state}))
+    return pd.concat(found) if found else pd.DataFrame({"ref_table": pd.Series([], dtype=str), "span": np.zeros(0, np.int32), "code": np.zeros(0, np.int64), "period": np.zeros(0, np.int32), "state": pd.Series([], dtype=str)})
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -118,32 +164,27 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
 
     ``refs`` has ``ref_table, row_key, key, ref_first``, ``parents`` has
     ``ref_table, key, parent_first, deleted``, each key once. Keys are
-    dictionary-encoded; bitmaps per key range and month are built with map-side
-    combining, so a key that a third of all rows refers to is one bit before
-    anything is shuffled; a range's bitmaps are AND-NOTed in numpy; the codes of
-    surviving bits go back to their rows, where the first kind that applies is
-    told exactly: ``missing``, ``deleted``, ``late`` (the parent was first
-    received after the reference was). A group of bitmaps is bounded by 4 KiB
-    times the months of the data. Null keys are no case; a null time is never late;
-    an empty table gives an empty result.
+    dictionary-encoded, references without any column of their parents; before
+    that they are folded to one row per key and month, so a key that a third of
+    all rows refers to is one bit. Compressed bitmaps per key range and month are
+    AND-NOTed, and only surviving codes are decoded and go back to their rows.
+    What the bits say is final for ``missing``, ``deleted`` and ``late`` in an
+    earlier month than the parent; only where both came in one month are their
+    times compared, first of the key and only then of its rows. Null keys are no
+    case; a null time is never late; an empty table gives an empty result.
     """
     spark = refs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
-    # both are read several times, so each is written once to the shared checkpoint folder
-    coded = cut_lineage(encode_keys(refs, parents, ranges))
-    rows = cut_lineage(refs.join(coded, ["ref_table", "key"]).withColumn("period", F.coalesce(month(F.col("ref_first")), F.lit(0))).drop("key"))
-    known = coded.where(F.col("deleted").isNotNull())
-    bits = (
-        _bitmaps(rows, "reference", F.col("period"))
-        .union(_bitmaps(known, "parent", F.coalesce(month(F.col("parent_first")), F.lit(-1))))
-        .union(_bitmaps(known.where("deleted"), "deleted", F.lit(0)))
-    )
-    left = bits.groupBy("ref_table", "span", "bucket").applyInPandas(_suspects, "ref_table string, span int, code bigint, period int")
-    kind = (
-        F.when(F.col("deleted").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("parent_first") > F.col("ref_first"), "late")
-    )
-    return rows.join(left, ["ref_table", "span", "code", "period"], "left_semi").select("ref_table", "row_key", kind.alias("orphan_kind"), "ref_first").where(F.col("orphan_kind").isNotNull())
+    coded = encode_keys(refs, parents, ranges)
+    left = key_bitmaps(coded).groupBy("ref_table", "span", "bucket").applyInPandas(_survivors, "ref_table string, span int, code bigint, period int, state string")
+    # decoded once, read for what is final and for what is to be compared
+    named = cut_lineage(coded.where("kind = 'reference'").join(left, ["ref_table", "span", "code", "period"]).select("ref_table", "key", "period", "state", "first"))
+    times = parents.select("ref_table", "key", "parent_first")
+    compared = named.where("state = 'same'").join(times, ["ref_table", "key"]).where(F.col("parent_first") > F.col("first"))
+    marks = named.where("state <> 'same'").select("ref_table", "key", "period", "state", F.lit(None).cast("timestamp_ntz").alias("parent_first")).union(compared.select("ref_table", "key", "period", F.lit("late"), "parent_first"))
+    rows = refs.withColumn("period", F.coalesce(_month("ref_first"), F.lit(UNDATED)))
+    orphans = rows.join(marks, ["ref_table", "key", "period"]).where(F.col("parent_first").isNull() | (F.col("parent_first") > F.col("ref_first")))
+    return orphans.select("ref_table", "row_key", F.col("state").alias("orphan_kind"), "ref_first")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
