@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftgrain.functions.keys import norm_id, norm_path
-from siftgrain.session import cut_lineage
 
 #: Keys of one bitmap; a compressed one is at most 8 KiB.
 BITS = 65536
@@ -23,6 +22,10 @@ def _month(column: str) -> Column:
     return (F.year(column) * 12 + F.month(column)).cast("int")
 
 
+def _period(column: str) -> Column:
+    return F.coalesce(_month(column), F.lit(UNDATED))
+
+
 def _first_seen(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ref_table", "row_key", "key").agg(F.min("received_at").alias("ref_first"))
 
@@ -79,17 +82,17 @@ def corpus_parents(occurrences: DataFrame, revisions: DataFrame, repositories: D
 
 
 def encode_keys(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
-    """``ref_table, key, period, kind, first, span, code``: the dictionary applied to both sides, in one pass.
+    """``ref_table, key, period, kind, span, code``: the dictionary applied to both sides, in one pass.
 
-    Every key of ``refs`` (per period, with the first reference of that period)
-    and of ``parents`` (kind ``parent`` or ``gone``) is a row. A key's range
-    (``span``) is its hash, its ``code`` its dense rank within the range, from
-    0: codes are dense, no range is larger than its share of the keys, and no
-    join is needed to code either side.
+    Every key of ``refs`` (once per period) and of ``parents`` (kind ``parent``
+    or ``gone``) is a row. A key's range (``span``) is its hash, its ``code`` its
+    dense rank within the range, from 0: codes are dense, no range is larger than
+    its share of the keys, and no join is needed to code either side.
     """
-    said = refs.groupBy("ref_table", "key", F.coalesce(_month("ref_first"), F.lit(UNDATED)).alias("period")).agg(F.min("ref_first").alias("first"))
-    held = parents.select("ref_table", "key", F.coalesce(_month("parent_first"), F.lit(-1)).alias("period"), F.when(F.col("deleted"), "gone").otherwise("parent").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("first"))
-    rows = said.select("ref_table", "key", "period", F.lit("reference").alias("kind"), "first").union(held).withColumn("span", F.pmod(F.xxhash64("ref_table", "key"), F.lit(ranges)).cast("int"))
+    said = refs.select("ref_table", "key", _period("ref_first").alias("period"), F.lit("reference").alias("kind")).distinct()
+    held = parents.select("ref_table", "key", F.coalesce(_month("parent_first"), F.lit(-1)).alias("period"), F.when(F.col("deleted"), "gone").otherwise("parent").alias("kind"))
+    # a range is never null, or a filter on it would tell one reader's shuffle from another's
+    rows = said.union(held).withColumn("span", F.coalesce(F.pmod(F.xxhash64("ref_table", "key"), F.lit(ranges)).cast("int"), F.lit(0)))
     return rows.withColumn("code", (F.dense_rank().over(W.partitionBy("ref_table", "span").orderBy("key")) - 1).cast("bigint"))
 
 
@@ -170,21 +173,20 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     AND-NOTed, and only surviving codes are decoded and go back to their rows.
     What the bits say is final for ``missing``, ``deleted`` and ``late`` in an
     earlier month than the parent; only where both came in one month are their
-    times compared, first of the key and only then of its rows. Null keys are no
+    times compared. Every table is shuffled once by its id; all later stages read
+    those shuffles again, so nothing is written to be reused. Null keys are no
     case; a null time is never late; an empty table gives an empty result.
     """
     spark = refs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = encode_keys(refs, parents, ranges)
     left = key_bitmaps(coded).groupBy("ref_table", "span", "bucket").applyInPandas(_survivors, "ref_table string, span int, code bigint, period int, state string")
-    # decoded once, read for what is final and for what is to be compared
-    named = cut_lineage(coded.where("kind = 'reference'").join(left, ["ref_table", "span", "code", "period"]).select("ref_table", "key", "period", "state", "first"))
-    times = parents.select("ref_table", "key", "parent_first")
-    compared = named.where("state = 'same'").join(times, ["ref_table", "key"]).where(F.col("parent_first") > F.col("first"))
-    marks = named.where("state <> 'same'").select("ref_table", "key", "period", "state", F.lit(None).cast("timestamp_ntz").alias("parent_first")).union(compared.select("ref_table", "key", "period", F.lit("late"), "parent_first"))
-    rows = refs.withColumn("period", F.coalesce(_month("ref_first"), F.lit(UNDATED)))
-    orphans = rows.join(marks, ["ref_table", "key", "period"]).where(F.col("parent_first").isNull() | (F.col("parent_first") > F.col("ref_first")))
-    return orphans.select("ref_table", "row_key", F.col("state").alias("orphan_kind"), "ref_first")
+    named = coded.where("kind = 'reference'").join(left, ["ref_table", "span", "code", "period"]).select("ref_table", "key", "period", "state")
+    marks = named.join(parents, ["ref_table", "key"], "left")
+    rows = refs.withColumn("period", _period("ref_first")).join(marks, ["ref_table", "key", "period"])
+    # the parents are read whole, as for the codes, so that their shuffle serves both
+    kind = F.when(F.col("state") != "same", F.col("state")).when(~F.col("deleted") & (F.col("parent_first") > F.col("ref_first")), "late")
+    return rows.select("ref_table", "row_key", kind.alias("orphan_kind"), "ref_first").where(F.col("orphan_kind").isNotNull())
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +290,17 @@ def test_rename_stream(spark, tmp_path):
         q.stop()
     got = {(r.op, r.path, r.new_path) for r in spark.table("renames").collect()}
     assert ("Rename", "a", "b") in got and ("Upsert", "c", None) in got
+
+
+def test_bitmaps_round_trip():
+    for positions in ([], [0], [5, 5, 65535], range(5000), range(0, 65536, 3)):
+        packed = orphans.pack_bits(np.array(list(positions), np.int64))
+        assert np.flatnonzero(orphans.unpack_bits(packed)).tolist() == sorted(set(positions)) and len(packed) <= 8193
+
+
+def test_orphans_come_from_the_bitmaps(spark, monkeypatch):
+    refs = spark.createDataFrame([("t", "1", "a", dt.datetime(2025, 1, 2))], REF)
+    parents = spark.createDataFrame([("t", "b", dt.datetime(2025, 1, 1), False)], PARENT)
+    assert orphans.orphan_references(refs, parents).count() == 1
+    monkeypatch.setattr(orphans, "_survivors", lambda pdf: pd.DataFrame({"ref_table": pd.Series([], dtype=str), "span": np.zeros(0, np.int32), "code": np.zeros(0, np.int64), "period": np.zeros(0, np.int32), "state": pd.Series([], dtype=str)}))
+    assert orphans.orphan_references(refs, parents).count() == 0
