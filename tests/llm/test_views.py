@@ -35,5 +35,5 @@ def test_a_body_alone_is_enough():
     model = handwritten.fit(rows)
     half = packed(rng) + "\n" + "\n".join("// a line of a comment" for _ in range(120))  # too little of it for the rule
     assert not handwritten.evidence("src/z.js", half)
-    assert max(handwritten.margins(model, "src/z.js", half)) >= handwritten.WITHOUT_EVIDENCE
-    assert max(handwritten.margins(model, "src/z.py", body(rng))) < handwritten.WITHOUT_EVIDENCE
+    assert max(handwritten.margins(model, "src/z.js", half)) >= handwritten.MARGIN
+    assert max(handwritten.margins(model, "src/z.py", body(rng))) < handwritten.MARGIN
