@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 LEAK_WORDS = 12
 #: Words of a block of the shift table.
 BLOCK = 2
-#: Items a search may hold at once; more are searched in several rounds.
+#: Items, and bytes of their texts, that a search may hold at once; more are searched in several rounds.
 ROUND_ITEMS = 100_000
+ROUND_BYTES = 32_000_000
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.*?-->|\\(?=[*_`~#>\[\]])|[*_~`]+", re.S)
+_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--.*?-->|\\(?=[*_`~#>\[\]])|[*_~`]+", re.S)
 _INLINE = re.compile(r"</?(?:a|abbr|b|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
@@ -81,27 +82,27 @@ def searchers(items: list[tuple[int, str]], least: int = LEAK_WORDS) -> list[WuM
     return [WuManber(list(patterns), m) for m, patterns in sorted(by_length.items())]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS, round_items: int = ROUND_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAK_WORDS, round_items: int = ROUND_ITEMS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """``doc_id, item_id`` of each document that repeats ``least`` consecutive words of an item, or all of a shorter one; each pair once.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, item_text``.
     The items, a held-out set, are sent to all tasks; a set larger than
-    ``round_items`` is searched in rounds of that many, so what a task holds is
-    bounded. Documents are read whole where they lie; only finds are shuffled.
+    ``round_items`` or ``round_bytes`` is searched in rounds of about that size,
+    so what a task holds is bounded. Documents are read whole where they lie; only finds are shuffled.
     A null or wordless text or item leaks nothing; documents that repeat an id
     give that id's pairs once; no documents or items give no rows.
     """
     spark = documents.sparkSession
     rows = items.select("item_id", "item_text").where(F.col("item_text").isNotNull()).dropDuplicates(["item_id", "item_text"])
-    total = rows.count()
-    if total <= round_items:
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).head()
+    if total <= round_items and size <= round_bytes:
         rounds = [rows]
     else:
-        n = -(-total // round_items) * 2
+        n = max(-(-total // round_items), -(-size // round_bytes)) * 2
         rounds = [rows.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n)) == i) for i in range(n)]
     out = None
     for part in rounds:
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about round_items rows
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about round_items rows and round_bytes bytes
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             tools = searchers(sent.value, least)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftgrain.session import cut_lineage
+from siftgrain.session import checkpoint_dir, cut_lineage
 
 #: Frequent function words that tell Latin-script languages apart.
 FUNCTION_WORDS = {
@@ -157,7 +159,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                     starts[lang].update(_STARTS.findall(part))
                     for m in _PERIODS.finditer(part):
                         token = _before(part, 0, m.start()).lower()
-                        if 0 < len(token) <= 12 and not _TOKEN_END.search(token):
+                        if token and not _TOKEN_END.search(token):
                             periods[lang, "#" if token[-1].isdigit() else token, m[1] or ""] += 1
             if sum(map(len, tokens.values())) + len(periods) > 200_000:
                 yield counted()
@@ -212,7 +214,7 @@ def learn(counts: DataFrame) -> DataFrame:
     without = F.greatest(F.col("t") - F.col("with"), F.lit(0))
     score = ratio(F.col("with"), F.col("t"), F.col("all_p"), F.col("all_t")) * F.exp(-length) * (1 + F.length("a") - length) * F.pow(length.cast("double"), -without / F.greatest(F.col("with") / 20, F.lit(1.0)))
     abbr = typed.where(
-        F.col("a").rlike(r"^\p{L}") & (F.col("with") >= 3) & (length <= 7) & (F.col("with") / F.greatest("t", "with") > 0.8) & (score > 0.3)
+        F.col("a").rlike(r"^\p{L}") & (F.col("with") >= 3) & (F.col("with") / F.greatest("t", "with") > 0.8) & (score > 0.3)
         & ((F.col("low") / F.col("with") >= 0.1) | ((F.col("inner_n") / F.col("with") >= 0.5) & (F.col("kinds") >= 5)))
     )
     numbers = periods.where("a = '#'").groupBy("lang", "b").agg(F.sum("n").alias("k")).join(token.withColumnRenamed("a", "b"), ["lang", "b"]).join(sizes, "lang")
@@ -227,37 +229,80 @@ def learn(counts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [df.select("lang", F.lit(kind).alias("kind"), "a") for df, kind in named])
 
 
-#: Learned entries that may be sent to the workers; the vocabulary that passes the ratios grows far slower than the corpus.
-MODEL_LIMIT = 2_000_000
+#: Learned entries that are sent to the workers as a whole; of more, each worker reads the parts it needs.
+MODEL_LIMIT = 500_000
+#: Parts of a large model, and how many of them a worker keeps.
+SHARDS, KEPT = 4096, 256
 
 
-def collect_model(learned: DataFrame, limit: int = MODEL_LIMIT) -> dict:
-    """The learned entries as sets by (lang, kind); more than ``limit`` of them is an error, not a silent cut."""
+class StoredModel:
+    """A learned model in the shared folder, read part by part: for vocabularies of any size."""
+
+    def __init__(self, folder: str, shards: int = SHARDS):
+        self.folder, self.shards, self.parts = folder, shards, OrderedDict()
+
+    def __getstate__(self):
+        return {"folder": self.folder, "shards": self.shards, "parts": OrderedDict()}
+
+    def part(self, number: int) -> frozenset:
+        if number not in self.parts:
+            import pyarrow.dataset as ds
+
+            where = f"{self.folder}/shard={number}"
+            try:
+                rows = ds.dataset(where.removeprefix("file:"), format="parquet").to_table().to_pydict()
+                self.parts[number] = frozenset(zip(rows["lang"], rows["kind"], rows["a"]))
+            except FileNotFoundError:  # nothing was learned there
+                self.parts[number] = frozenset()
+            if len(self.parts) > KEPT:
+                self.parts.popitem(last=False)
+        self.parts.move_to_end(number)
+        return self.parts[number]
+
+    def has(self, lang: str, kind: str, word: str) -> bool:
+        return (lang, kind, word) in self.part(crc32(f"{lang}\t{kind}\t{word}".encode("utf-8", "surrogatepass")) % self.shards)
+
+
+def collect_model(learned: DataFrame, limit: int = MODEL_LIMIT, shards: int = SHARDS):
+    """The learned entries as sets by (lang, kind); more than ``limit`` of them as a StoredModel, with the same answers."""
     rows = learned.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} learned entries; raise the limit or the ratios")
-    return {key: frozenset(part["a"]) for key, part in rows.groupby(["lang", "kind"])}
+    if len(rows) <= limit:
+        return {key: frozenset(part["a"]) for key, part in rows.groupby(["lang", "kind"])}
+    folder = f"{checkpoint_dir(learned.sparkSession)}/sentences-{uuid.uuid4()}"
+    both = learned.union(learned.select(F.lit("und"), "kind", "a")).distinct()
+    both.withColumn("shard", F.pmod(F.crc32(F.concat_ws("\t", "lang", "kind", "a")), F.lit(shards))).repartition("shard").write.partitionBy("shard").parquet(folder)
+    return StoredModel(folder, shards)
 
 
 def _before(part: str, start: int, at: int) -> str:
-    """The token that ends at ``at``, without opening signs; of a very long one the last characters, which no learned token has."""
-    around = part[max(start, at - 60) : at]
-    return around.rsplit(None, 1)[-1].lstrip(_LEAD) if around and not around[-1].isspace() else ""
+    """The token that ends at ``at``, without opening signs."""
+    reach = 60
+    while True:
+        around = part[max(start, at - reach) : at]
+        if not around or around[-1].isspace():
+            return ""
+        pieces = around.rsplit(None, 1)
+        if len(pieces) > 1 or around[0].isspace() or at - reach <= start:
+            return pieces[-1].lstrip(_LEAD)
+        reach *= 8  # a token longer than was looked at
 
 
 class Splitter:
     """Splits texts with a learned model."""
 
-    def __init__(self, model: dict):
-        self.model = dict(model)
+    def __init__(self, model):
+        self.stored = model if isinstance(model, StoredModel) else None
+        self.model = {} if self.stored else dict(model)
         self.none: frozenset = frozenset()
 
         # text too short to tell its language is judged by what any language has learned
         for kind in ("abbr", "starter", "common", "ordinal"):
-            known = [words for (lang, k), words in model.items() if k == kind]
+            known = [words for (lang, k), words in self.model.items() if k == kind]
             self.model["und", kind] = frozenset().union(*known)
 
     def has(self, lang: str, kind: str, word: str) -> bool:
+        if self.stored:
+            return self.stored.has(lang, kind, word)
         return word in self.model.get((lang, kind), self.none)
 
     def ends(self, text: str) -> list[int]:
@@ -341,7 +386,7 @@ class Splitter:
         if marks == "." and spaced and not inside and stop == at + 1:
             # a period after an ordinary word, the usual case
             token = _before(part, start, at)
-            if len(token) > 1 and token.isalpha() and token.lower() not in self.model.get((lang, "abbr"), self.none):
+            if len(token) > 1 and token.isalpha() and not self.has(lang, "abbr", token.lower()):
                 return True
         wide = marks[-1] in "。！？"
         if not spaced and not wide and marks[-1] not in "।؟۔":
@@ -398,7 +443,7 @@ class Splitter:
         return True
 
 
-def sentence_ends(documents: DataFrame, model: dict, starts: bool = True) -> DataFrame:
+def sentence_ends(documents: DataFrame, model, starts: bool = True) -> DataFrame:
     """``doc_id, sentence_no, start_pos, end_pos`` of each sentence, sentences in order from 0; without ``starts`` only ``doc_id, end_pos``.
 
     ``end_pos`` is the number of code points up to and including the sentence's

@@ -41,15 +41,15 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     strongest kind that leaves the piece at least half full, else in the
     strongest that advances at all; with none, the cut is hard, between two
     characters. A step back that would split a character goes on to its start.
-    The overlap counts at most half the limit, and is left out where a tiny limit
-    has no room for it and one more character; a limit below one character's
-    bytes gives single characters.
+    The overlap is honoured up to one byte below the limit (beyond, no piece could
+    advance), and is left out where the limit has no room for it and one more
+    character; a limit below one character's bytes gives single characters.
     """
     data = text.encode("utf-8", "surrogatepass")
     size, limit = len(data), max(1, limit)
     if size <= limit:
         return [(0, size)]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     kinds = boundaries(text)
     starts_inside = lambda at: at < size and data[at] & 0xC0 == 0x80
     out, start, covered = [], 0, 0
