@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftgrain.functions.text import glob_regex
 
 #: Directories, extensions and file names that are never read (fixed values).
-FORBIDDEN_DIRS = (".ssh", ".gnupg", ".aws", ".kube", ".docker")
-FORBIDDEN_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "kdbx", "ppk")
-FORBIDDEN_NAMES = (".env", ".netrc", ".pgpass", ".npmrc", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials")
+FORBIDDEN_DIRS = (".git", ".ssh", ".gnupg")
+FORBIDDEN_EXTENSIONS = ("pem", "key", "p12", "jks")
+FORBIDDEN_NAMES = (".env",)
+FORBIDDEN_NAME_PREFIXES = (".env.",)
+
+#: What in a lower-case path marks a test, and the names of configuration and documentation (fixed values).
+TEST_MARKERS = ("/tests/", "/test/", "__tests__/", "_test.go", "test_", "_test.py", "test.py", "test.java", ".test.ts", ".test.js", ".spec.ts", ".spec.js", "test.rs")
+CONFIG_EXTENSIONS = (".yml", ".yaml", ".toml", ".ini", ".properties", ".env", ".cfg", ".conf", ".xml")
+CONFIG_NAMES = ("package.json", "go.mod")
+DOC_EXTENSIONS = (".md", ".rst", ".txt", ".adoc")
+DOC_NAMES = ("license", "licence", "notice", "copying", "copyright")
 
 
 def in_scope(path: Column, exact: str | None = None, prefix: str | None = None, glob: str | None = None) -> Column:
@@ -35,9 +45,11 @@ def file_name(path: Column) -> Column:
 
 
 def is_forbidden(path: Column) -> Column:
-    """Whether a path may hold keys or credentials by its directories, extension or name."""
-    low = F.lower(path)
-    return F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, FORBIDDEN_DIRS))) | F.regexp_extract(low, r"\.([a-z0-9]+)$", 1).isin(*FORBIDDEN_EXTENSIONS) | file_name(low).isin(*FORBIDDEN_NAMES) | file_name(low).startswith(".env.")
+    """Whether a path may hold keys or credentials by a component, its extension or its name."""
+    name = F.lower(file_name(path))
+    parts = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, FORBIDDEN_DIRS)))
+    prefixed = reduce(lambda a, b: a | b, [name.startswith(p) for p in FORBIDDEN_NAME_PREFIXES])
+    return parts | name.isin(*FORBIDDEN_NAMES) | prefixed | F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*FORBIDDEN_EXTENSIONS)
 
 
 def priority(path: Column, include: list[str], exclude: list[str], low: list[str], high: list[str]) -> Column:
@@ -47,21 +59,34 @@ def priority(path: Column, include: list[str], exclude: list[str], low: list[str
 
 
 def source_type(path: Column) -> Column:
-    """The kind of evidence a path holds: KNOWLEDGE, TEST, DOCUMENTATION, CONFIGURATION, GENERATED_SOURCE or SOURCE_CODE."""
-    low = F.lower(path)
+    """The kind of evidence a path holds: KNOWLEDGE, TEST, CONFIGURATION, DOCUMENTATION or SOURCE_CODE, by the first rule that applies.
+
+    ``knowledge/`` counts as the curated folder of a module, so at any depth. A
+    test marker counts anywhere in the path (``latest_x`` has one).
+    """
+    low, name = F.lower(path), F.lower(file_name(path))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
     return (
-        F.when(low.rlike(r"(^|/)knowledge/"), "KNOWLEDGE")
-        .when(low.rlike(r"(^|/)(test|tests|__tests__|spec)/|test_|_test\.|tests?\.(java|kt|scala|cs)$|\.(test|spec)\."), "TEST")
-        .when(low.rlike(r"\.(md|markdown|rst|adoc|txt)$"), "DOCUMENTATION")
-        .when(low.rlike(r"\.(ya?ml|toml|json|ini|properties|conf|xml)$"), "CONFIGURATION")
-        .when(low.rlike(r"(^|/)(generated|autogen|gen)/"), "GENERATED_SOURCE")
+        F.when(low.startswith("knowledge/") | low.contains("/knowledge/"), "KNOWLEDGE")
+        .when(any_of([low.contains(m) for m in TEST_MARKERS]), "TEST")
+        .when(any_of([name.endswith(e) for e in CONFIG_EXTENSIONS]) & ~name.startswith("pom.xml") | name.isin(*CONFIG_NAMES), "CONFIGURATION")
+        .when(any_of([name.endswith(e) for e in DOC_EXTENSIONS]) | name.isin(*DOC_NAMES), "DOCUMENTATION")
+        .when(name.endswith(".json"), "CONFIGURATION")
         .otherwise("SOURCE_CODE")
     )
 
 
+def search_label(kind: Column) -> Column:
+    """The short label of a kind of source in search results."""
+    return F.when(kind == "KNOWLEDGE", "knowledge").when(kind == "DOCUMENTATION", "documentation").when(kind == "CONFIGURATION", "config").when(kind == "TEST", "test").otherwise("code")
+
+
 def authority(kind: Column) -> Column:
-    """How far a kind of source is to be believed, from 1."""
-    return F.when(kind.isin("SOURCE_CODE", "CONFIGURATION"), 1).when(kind == "TEST", 2).when(kind == "KNOWLEDGE", 3).when(kind == "DOCUMENTATION", 4).otherwise(5)
+    """How far a kind of source is to be believed: IMPLEMENTATION, CONFIGURED, TEST_EXPECTATION, PROJECT_KNOWLEDGE, DOC or DERIVED."""
+    return (
+        F.when(kind.isin("SOURCE_CODE", "GENERATED_SOURCE"), "IMPLEMENTATION").when(kind == "TEST", "TEST_EXPECTATION").when(kind == "CONFIGURATION", "CONFIGURED")
+        .when(kind == "KNOWLEDGE", "PROJECT_KNOWLEDGE").when(kind == "DOCUMENTATION", "DOC").otherwise("DERIVED")
+    )
 
 
 #: Extensions of the languages that are told by path (fixed values).
@@ -75,3 +100,16 @@ def language_of(path: Column) -> Column:
     """The language a path's extension names, ``dockerfile`` by name, else null."""
     known = F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])
     return F.when(F.lower(file_name(path)).startswith("dockerfile"), "dockerfile").otherwise(known[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))])
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and ``.`` parts, each ``..`` taking the part before it; one that leads above the root keeps its ``..``."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+    step = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(parts, empty, lambda acc, p: step(F.when(F.size(acc) >= 0, acc), p).cast("array<string>")), "/")
+
+
+def is_contained(path: Column) -> Column:
+    """Whether a path, once normalised, stays below its root."""
+    return ~path.startswith("/") & ~normal_path(path).startswith("..")

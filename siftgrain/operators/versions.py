@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +48,37 @@ def delete_where(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     return base.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def fingerprint(rows: DataFrame, group: list[str], line: str = "line") -> DataFrame:
+    """``group, fingerprint, n``: a hash of each group's distinct lines that their order does not change.
+
+    The SHA-256 values of the lines are added up in four parts of 60 bits, so a
+    group of any size is one row of fixed size, combined map-side.
+    """
+    hashed = rows.select(*group, line).distinct().withColumn("_h", F.sha2(line, 256))
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return hashed.groupBy(*group).agg(F.count("*").alias("n"), *[p.alias(f"_p{i}") for i, p in enumerate(parts)]).select(*group, F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[f"_p{i}" for i in range(4)]), 256).alias("fingerprint"), "n")
+
+
 def manifest_hash(entries: DataFrame, group: list[str], path: str, content: str) -> DataFrame:
-    """``group, manifest_hash, n_entries``: a SHA-256 over the sorted lines ``path TAB hash LF``, whatever the order of the rows."""
+    """``group, manifest_hash, n_entries``: a fingerprint of the lines ``path TAB hash LF``, whatever the order of the rows."""
     line = F.concat(F.col(path), F.lit("\t"), F.coalesce(F.col(content), F.lit("")), F.lit("\n"))
-    return entries.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), ""), 256).alias("manifest_hash"), F.count_distinct(line).alias("n_entries"))
+    return fingerprint(entries.select(*group, line.alias("line")), group).select(*group, F.col("fingerprint").alias("manifest_hash"), F.col("n").alias("n_entries"))
+
+
+def glob_covered(files: DataFrame, globs: DataFrame, within: str = "repository_id") -> DataFrame:
+    """``id`` of each file (``within, path, id``) that a glob (``within, glob``) of its repository covers; ``*`` and ``?`` stay within a directory, ``**`` does not.
+
+    A glob joins the files below its literal directories, so the join is an
+    equi-join on a prefix of the path, of any depth, the root included.
+    """
+    mark = lambda c, a, b: F.regexp_replace(c, a, b)
+    regex = mark(mark(mark(F.col("glob"), r"[.+^$()\[\]{}|\\]", r"\\$0"), r"\*\*/", "\u0001"), r"\*\*", "\u0002")
+    regex = mark(mark(mark(mark(regex, r"\*", "[^/]*"), r"\?", "[^/]"), "\u0001", "(?:.*/)?"), "\u0002", ".*")
+    literal = F.regexp_replace(F.regexp_extract("glob", r"^[^*?]*", 0), r"[^/]*$", "")
+    rules = globs.select(within, F.concat(F.lit("^"), regex, F.lit("$")).alias("re"), literal.alias("head"))
+    parts = F.split("path", "/")
+    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    return files.select(within, "path", "id", F.explode(heads).alias("head")).join(rules, [within, "head"]).where(F.expr("path rlike re")).select("id").distinct()
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -80,17 +108,47 @@ def prune(rows: DataFrame, cutoff: Column, references: list[DataFrame], key: str
     return reduce(lambda left, ref: left.join(ref.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti"), references, rows.where(cutoff))
 
 
-def publish(df: DataFrame, root: str, generation: str) -> None:
-    """Writes a generation beside the others, then points to it; readers see the old or the new one, never a mixture."""
+def _pointers(spark, root: str):
+    """The file system of ``root``, its pointer folder, and the numbers of the pointers in it."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, folder, sorted(int(n) for n in names if n.isdigit())
+
+
+def publish(df: DataFrame, root: str, generation: str) -> int:
+    """Writes a generation beside the others, then points to it; the number of the pointer.
+
+    A pointer is a new file, written under another name and renamed, which is one
+    step of the file system; none is ever changed or deleted. Readers take the
+    highest number, so they see the old or the new generation, never a mixture
+    and never none. A failed write leaves the old one.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/generation={generation}")
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    df.write.mode("error").parquet(f"{root}/generation={generation}")
+    fs, folder, numbers = _pointers(spark, root)
+    fs.mkdirs(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    draft = path(folder, f"_draft-{uuid.uuid4()}")
+    out = fs.create(draft, False)
+    out.write(bytearray(generation.encode()))
+    out.close()
+    number = (numbers[-1] if numbers else 0) + 1
+    while fs.exists(path(folder, str(number))) or not fs.rename(draft, path(folder, str(number))):
+        number += 1
+    return number
+
+
+def current_generation(spark, root: str) -> str | None:
+    """The name of the generation that is pointed to."""
+    _, folder, numbers = _pointers(spark, root)
+    return spark.read.text(f"{folder.toString()}/{numbers[-1]}").head()[0] if numbers else None
 
 
 def published(spark, root: str) -> DataFrame:
     """The generation that is pointed to."""
-    current = spark.read.schema("generation string").json(f"{root}/_current").head()[0]
-    return spark.read.parquet(f"{root}/generation={current}")
+    return spark.read.parquet(f"{root}/generation={current_generation(spark, root)}")
 
 
 def violations(rows: DataFrame, keys: list[str], allowed: dict[str, list[str]], required: list[str]) -> DataFrame:

@@ -51,3 +51,10 @@ units AS (
   SELECT un.id AS unit_id, un.repository_id, path, text, un.freshness_state, occurrence_id FROM un JOIN occ ON occ.id = occurrence_id
   WHERE un.freshness_state NOT IN ('INVALID', 'UNKNOWN') AND existence_state <> 'deleted')
 """
+
+
+#: The kind of a path, stated once more for SQL.
+KIND = r"""CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/') THEN 'KNOWLEDGE'
+  WHEN regexp_matches(lower(path), '/tests/|/test/|__tests__/|_test\.go|test_|_test\.py|test\.py|test\.java|\.test\.ts|\.test\.js|\.spec\.ts|\.spec\.js|test\.rs') THEN 'TEST'
+  WHEN regexp_matches(lower(path), '\.(yml|yaml|toml|ini|properties|env|cfg|conf|xml)$') AND NOT regexp_matches(lower(path), '(^|/)pom\.xml[^/]*$') OR regexp_matches(lower(path), '(^|/)(package\.json|go\.mod)$') THEN 'CONFIGURATION'
+  WHEN regexp_matches(lower(path), '\.(md|rst|txt|adoc)$|(^|/)(license|licence|notice|copying|copyright)$') THEN 'DOCUMENTATION' WHEN regexp_matches(lower(path), '\.json$') THEN 'CONFIGURATION' ELSE 'SOURCE_CODE' END"""

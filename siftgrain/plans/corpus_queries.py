@@ -12,7 +12,7 @@ from siftgrain.operators import evidence as E
 from siftgrain.operators import graph as G
 from siftgrain.operators import jsonops as J
 from siftgrain.operators import versions as V
-from siftgrain.plans.base import BASE, folded, latest, occurrences, units
+from siftgrain.plans.base import BASE, KIND, folded, latest, occurrences, units
 from siftgrain.sources.discovery import masked, masked_count
 from siftgrain.sources.manifests import scan_manifests
 from siftgrain.sources.tables import read_table
@@ -70,7 +70,11 @@ _NORM_PATH = r"regexp_replace(regexp_replace(replace(repo_relative, '\', '/'), '
 _NORM_HASH = "coalesce(regexp_replace(lower(trim(content_hash)), '^[a-z0-9_-]+[:=]', ''), '')"
 
 
-@query(f"SELECT manifest_id, sha256(string_agg(line, '' ORDER BY line)) AS manifest_hash, count(*) AS n_entries FROM (SELECT DISTINCT manifest_id, {_NORM_PATH} || chr(9) || {_NORM_HASH} || chr(10) AS line FROM manifest_entries) GROUP BY 1")
+_PARTS_OF = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@query(f"""SELECT manifest_id, sha256(concat_ws(',', count(*)::VARCHAR, {_PARTS_OF})) AS manifest_hash, count(*) AS n_entries
+FROM (SELECT manifest_id, sha256(line) AS h FROM (SELECT DISTINCT manifest_id, {_NORM_PATH} || chr(9) || {_NORM_HASH} || chr(10) AS line FROM manifest_entries)) GROUP BY 1""")
 def file_manifest_hash(spark, sf):
     entries = read_table(spark, sf, "manifest_entries", "manifest_id", "repo_relative", "content_hash").select("manifest_id", norm_path(F.col("repo_relative")).alias("path"), norm_hash(F.col("content_hash")).alias("hash"))
     return V.manifest_hash(entries, ["manifest_id"], "path", "hash")
@@ -334,8 +338,7 @@ def _ranked(spark, sf):
     return fused.select("fusion_key", "repository_id", "path", "freshness_state", "confidence", score.alias("score"))
 
 
-_RANKED = _CANDIDATES + r""", kinds AS (SELECT *, CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/') THEN 'KNOWLEDGE' WHEN regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|test_|_test\.|tests?\.(java|kt|scala|cs)$|\.(test|spec)\.') THEN 'TEST'
-  WHEN regexp_matches(lower(path), '\.(md|markdown|rst|adoc|txt)$') THEN 'DOCUMENTATION' ELSE 'OTHER' END AS k FROM fused JOIN occ ON occ.id = fusion_key),
+_RANKED = _CANDIDATES + f""", kinds AS (SELECT *, {KIND} AS k FROM fused JOIN occ ON occ.id = fusion_key),
 ranked AS (SELECT fusion_key, repository_id, path, freshness_state, confidence, round((1.5 * coalesce(lexical, 0) + 0.5 * coalesce(symbol, 0) + 0.5 * 0.8 + 2 * CASE freshness_state WHEN 'CURRENT' THEN 1.0 WHEN 'STALE' THEN 0.4 WHEN 'UNKNOWN' THEN 0.3 WHEN 'PENDING_REFRESH' THEN 0.75 ELSE 0 END
   + 1.5 * CASE k WHEN 'KNOWLEDGE' THEN 1.0 WHEN 'DOCUMENTATION' THEN 0.7 ELSE 0 END) / 8.0, 6) AS score FROM kinds)
 """
@@ -547,8 +550,7 @@ def contracts(spark, sf):
     return spark.createDataFrame(rows, "query_type string, source_type string, freshness string, min_confidence double, rounds int, extra int")
 
 
-@query(_RANKED + """, q AS (SELECT repository_id AS query_id, 'CONFIGURATION' AS query_type, CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/|(^|/)(test|tests|__tests__|spec)/|test_|_test\\.|tests?\\.(java|kt|scala|cs)$|\\.(test|spec)\\.|\\.(md|markdown|rst|adoc|txt)$') THEN 'x'
-  WHEN regexp_matches(lower(path), '\\.(ya?ml|toml|json|ini|properties|conf|xml)$') THEN 'CONFIGURATION' ELSE 'x' END AS s FROM ranked)
+@query(_RANKED + f""", q AS (SELECT repository_id AS query_id, 'CONFIGURATION' AS query_type, {KIND} AS s FROM ranked)
 SELECT query_id, query_type, bool_or(s = 'CONFIGURATION') AS satisfied FROM q GROUP BY 1, 2""")
 def requirement_sufficiency(spark, sf):
     rows = _ranked(spark, sf).select(F.col("repository_id").alias("query_id"), F.lit("CONFIGURATION").alias("query_type"), source_type(F.col("path")).alias("source_type"))
@@ -587,16 +589,14 @@ def units_per_file_capped(spark, sf):
     return u.withColumn("k", place).where("k <= 3").select("occurrence_id", "unit_id", F.coalesce("start_line", F.lit(-1)).alias("start_line"))
 
 
-@query(BASE + """, g AS (SELECT DISTINCT repository_id, cited_path AS glob, '^' || replace(replace(replace(replace(cited_path, '.', '\\.'), '**/', '(?:.*/)?'), '*', '[^/]*'), '(?:.[^/]*/)?', '(?:.*/)?') || '$' AS re FROM spec_citations WHERE citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL)
-SELECT n.repository_id, count(*) AS n_files, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE g.repository_id = n.repository_id AND regexp_matches(n.path, g.re))) AS n_covered FROM newest n GROUP BY 1""")
+@query(BASE + r""", g AS (SELECT DISTINCT repository_id, '^' || replace(replace(replace(replace(replace(replace(cited_path, '.', '\.'), '**/', chr(1)), '**', chr(2)), '*', '[^/]*'), '?', '[^/]'), chr(1), '(.*/)?') || '$' AS re FROM spec_citations WHERE citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL),
+r AS (SELECT repository_id, replace(re, chr(2), '.*') AS re FROM g)
+SELECT n.repository_id, count(*) AS n_files, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.repository_id = n.repository_id AND regexp_matches(n.path, r.re))) AS n_covered FROM newest n GROUP BY 1""")
 def boundary_coverage(spark, sf):
+    """Of each repository's files, how many a glob of its plans covers."""
     globs = read_table(spark, sf, "spec_citations", "repository_id", "citation_kind", "cited_path").where("citation_kind = 'ALLOW_GLOB' AND cited_path IS NOT NULL").select("repository_id", F.col("cited_path").alias("glob")).distinct()
-    dotted = F.regexp_replace(F.col("glob"), r"\.", r"\\.")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(dotted, r"\*\*/", "\u0001"), r"\*", "[^/]*"), "\u0001", "(?:.*/)?"), F.lit("$"))
-    # a glob begins with its directory, so the join is on the first two components
-    head = lambda c: F.substring_index(c, "/", 2)
-    files = latest(spark, sf).select("repository_id", "path", "id").withColumn("head", head(F.col("path")))
-    covered = files.join(globs.select("repository_id", regex.alias("re"), head(F.col("glob")).alias("head")), ["repository_id", "head"]).where(F.expr("path rlike re")).select("id", F.lit(1).alias("hit")).distinct()
+    files = latest(spark, sf).select("repository_id", "path", "id")
+    covered = V.glob_covered(files, globs).select("id", F.lit(1).alias("hit"))
     return files.join(covered, "id", "left").groupBy("repository_id").agg(F.count("*").alias("n_files"), F.count("hit").alias("n_covered"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from siftgrain.functions.keys import norm_id
 from siftgrain.functions.paths import source_type
 from siftgrain.operators import evidence as E
-from siftgrain.plans.base import BASE, folded, latest, occurrences, units
+from siftgrain.operators import versions as V
+from siftgrain.plans.base import BASE, KIND, folded, latest, occurrences, units
 from siftgrain.sources.tables import read_table
 
 QUERIES, SQL = {}, {}
@@ -60,8 +61,7 @@ def knowledge_contradictions(spark, sf):
     return said.join(facts.where("NOT known"), ["repository_id", "fact"]).where("said <> value").groupBy("repository_id", "fact", "knowledge_path").agg(F.count_distinct("path").alias("n_conflicts"))
 
 
-_KIND = r"""CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/') THEN 'KNOWLEDGE' WHEN regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|test_|_test\.|tests?\.(java|kt|scala|cs)$|\.(test|spec)\.') THEN 'TEST'
-  WHEN regexp_matches(lower(path), '\.(md|markdown|rst|adoc|txt)$') THEN 'DOCUMENTATION' WHEN regexp_matches(lower(path), '\.(ya?ml|toml|json|ini|properties|conf|xml)$') THEN 'CONFIGURATION' WHEN regexp_matches(lower(path), '(^|/)(generated|autogen|gen)/') THEN 'GENERATED_SOURCE' ELSE 'SOURCE_CODE' END"""
+_KIND = KIND
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g')"
 _PAIR = r"regexp_extract(line, '(?s)^([^=:]*)[=:](.*)$', {0})"
 _STATED = rf"""stated AS (SELECT DISTINCT id, repository_id, path, kind, freshness_state, key, value FROM (
@@ -129,11 +129,14 @@ def result_rollup(spark, sf):
     return grouped.select("repository_id", "n_dropped", level.alias("confidence"))
 
 
-@query("SELECT run_id, sha256(string_agg(line, '' ORDER BY line)) AS fingerprint FROM (SELECT DISTINCT run_id, citation_kind || chr(9) || coalesce(cited_path, '') || chr(10) AS line FROM spec_citations) GROUP BY 1")
+_PARTS_OF = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@query(f"SELECT run_id, sha256(concat_ws(',', count(*)::VARCHAR, {_PARTS_OF})) AS fingerprint FROM (SELECT run_id, sha256(line) AS h FROM (SELECT DISTINCT run_id, citation_kind || chr(9) || coalesce(cited_path, '') || chr(10) AS line FROM spec_citations)) GROUP BY 1")
 def citation_fingerprint(spark, sf):
     """A fingerprint of each run's citations, whatever their order."""
     line = F.concat("citation_kind", F.lit("\t"), F.coalesce("cited_path", F.lit("")), F.lit("\n"))
-    return read_table(spark, sf, "spec_citations", "run_id", "citation_kind", "cited_path").groupBy("run_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), ""), 256).alias("fingerprint"))
+    return V.fingerprint(read_table(spark, sf, "spec_citations", "run_id", "citation_kind", "cited_path").select("run_id", line.alias("line")), ["run_id"]).select("run_id", "fingerprint")
 
 
 @query(BASE + """, cache AS (SELECT DISTINCT repository_id, path, content_hash, language FROM occ WHERE received_at < TIMESTAMP '2025-09-01')

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.functions import paths as P
 from siftgrain.operators import lexical as L
-from siftgrain.plans.base import BASE, latest, occurrences, units
+from siftgrain.plans.base import BASE, KIND, latest, occurrences, units
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 #: (name, expression, SQL condition, positive terms)
@@ -58,7 +58,7 @@ QUERIES |= {
     "path_scope_prefix": lambda spark, sf: latest(spark, sf).where(P.in_scope(F.col("path"), prefix="tools/")).select("repository_id", "path"),
     "path_scope_glob": lambda spark, sf: latest(spark, sf).where(P.in_scope(F.col("path"), glob="libs/*/core/*.?s")).select("repository_id", "path"),
     "path_suffix_lookup": lambda spark, sf: latest(spark, sf).where(P.ends_with_path(F.col("path"), "beacon.yaml")).select("repository_id", "path"),
-    "source_type_label": lambda spark, sf: latest(spark, sf).select("path", P.source_type(F.col("path")).alias("source_type")).withColumn("authority", P.authority(F.col("source_type"))).groupBy("source_type", "authority").agg(F.count("*").alias("n")),
+    "source_type_label": lambda spark, sf: latest(spark, sf).select("path", P.source_type(F.col("path")).alias("source_type")).withColumns({"authority": P.authority(F.col("source_type")), "label": P.search_label(F.col("source_type"))}).groupBy("source_type", "authority", "label").agg(F.count("*").alias("n")),
     "security_forbidden": lambda spark, sf: latest(spark, sf).groupBy(P.is_forbidden(F.col("path")).alias("forbidden")).agg(F.count("*").alias("n")),
     "discovery_priority": lambda spark, sf: latest(spark, sf).groupBy(P.priority(F.col("path"), ["**/vendor/*/README.md"], ["**/vendor/**", "**/node_modules/**"], ["**/test/*"], ["*/*/src/**"]).alias("priority")).agg(F.count("*").alias("n")),
     "language_from_path": lambda spark, sf: occurrences(spark, sf, "path", "language").groupBy(P.language_of(F.col("path")).alias("by_path"), F.lower(F.trim("language")).alias("claimed")).agg(F.count("*").alias("n")),
@@ -89,12 +89,10 @@ SELECT unit_id, substr(array_to_string(rows[greatest(best - 1, 0) + 1 : best + 2
     "path_scope_prefix": BASE + "SELECT repository_id, path FROM newest WHERE path = 'tools' OR starts_with(path, 'tools/')",
     "path_scope_glob": BASE + "SELECT repository_id, path FROM newest WHERE path GLOB 'libs/*/core/*.?s' OR regexp_matches(path, '^libs/.*/core/.*\\..s$')",
     "path_suffix_lookup": BASE + "SELECT repository_id, path FROM newest WHERE path = 'beacon.yaml' OR ends_with(path, '/beacon.yaml')",
-    "source_type_label": BASE + r""", s AS (SELECT CASE WHEN regexp_matches(lower(path), '(^|/)knowledge/') THEN 'KNOWLEDGE'
-  WHEN regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|test_|_test\.|tests?\.(java|kt|scala|cs)$|\.(test|spec)\.') THEN 'TEST'
-  WHEN regexp_matches(lower(path), '\.(md|markdown|rst|adoc|txt)$') THEN 'DOCUMENTATION' WHEN regexp_matches(lower(path), '\.(ya?ml|toml|json|ini|properties|conf|xml)$') THEN 'CONFIGURATION'
-  WHEN regexp_matches(lower(path), '(^|/)(generated|autogen|gen)/') THEN 'GENERATED_SOURCE' ELSE 'SOURCE_CODE' END AS source_type FROM newest)
-SELECT source_type, CASE WHEN source_type IN ('SOURCE_CODE', 'CONFIGURATION') THEN 1 WHEN source_type = 'TEST' THEN 2 WHEN source_type = 'KNOWLEDGE' THEN 3 WHEN source_type = 'DOCUMENTATION' THEN 4 ELSE 5 END AS authority, count(*) AS n FROM s GROUP BY 1""",
-    "security_forbidden": BASE + r"SELECT regexp_matches(lower(path), '(^|/)\.(ssh|gnupg|aws|kube|docker)(/|$)|\.(pem|key|p12|pfx|jks|keystore|kdbx|ppk)$|(^|/)(\.env|\.env\.[^/]*|\.netrc|\.pgpass|\.npmrc|id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials)$') AS forbidden, count(*) AS n FROM newest GROUP BY 1",
+    "source_type_label": BASE + f""", s AS (SELECT {KIND} AS source_type FROM newest)
+SELECT source_type, CASE source_type WHEN 'SOURCE_CODE' THEN 'IMPLEMENTATION' WHEN 'CONFIGURATION' THEN 'CONFIGURED' WHEN 'TEST' THEN 'TEST_EXPECTATION' WHEN 'KNOWLEDGE' THEN 'PROJECT_KNOWLEDGE' ELSE 'DOC' END AS authority,
+  CASE source_type WHEN 'SOURCE_CODE' THEN 'code' WHEN 'CONFIGURATION' THEN 'config' ELSE lower(source_type) END AS label, count(*) AS n FROM s GROUP BY 1""",
+    "security_forbidden": BASE + r"SELECT regexp_matches(path, '(^|/)\.(git|ssh|gnupg)(/|$)') OR regexp_matches(lower(path), '\.(pem|key|p12|jks)$|(^|/)\.env(\.[^/]*)?$') AS forbidden, count(*) AS n FROM newest GROUP BY 1",
     "discovery_priority": BASE + r"""SELECT CASE WHEN regexp_matches(path, '^(.*/)?vendor/.*$|^(.*/)?node_modules/.*$') AND NOT regexp_matches(path, '^(.*/)?vendor/[^/]*/README\.md$') THEN 'ignored'
   WHEN regexp_matches(path, '^[^/]*/[^/]*/src/.*$') THEN 'high' WHEN regexp_matches(path, '^(.*/)?test/[^/]*$') THEN 'low' ELSE 'normal' END AS priority, count(*) AS n FROM newest GROUP BY 1""",
     "language_from_path": BASE + """, m AS (SELECT * FROM (VALUES ('py','python'),('java','java'),('js','javascript'),('ts','typescript'),('go','go'),('rs','rust'),('json','json'),('yaml','yaml'),('yml','yaml'),('toml','toml'),('md','markdown')) v(e, l))

@@ -30,13 +30,16 @@ def local_session(cpus: int | str = 8, app: str = "siftgrain", **conf: str) -> S
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: ``spark.checkpoint.dir`` where the session
-    names one (a cluster does, and all executors share it), else a temporary
-    one, which is only right for a local session."""
+    names one (a cluster does, and all executors share it). A local session
+    without one gets a temporary folder; elsewhere that is an error, since
+    executors would write where no other machine can read."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "siftgrain-checkpoints"))
     return context.getCheckpointDir()
 
