@@ -26,33 +26,6 @@ WEIGHTS = {
 }
 FRESHNESS_SCORE = {"CURRENT": 1.0, "STALE": 0.4, "UNKNOWN": 0.3, "INVALID": 0.0, "PENDING_REFRESH": 0.75}
 
-#: Words that tell what a question is after, in the order of the rules (fixed values).
-INTENTS = [
-    ("DEFINITION", "High", ("where is", "definition of", "defined", "declared")),
-    ("SYMBOL_NAVIGATION", "High", ("who calls", "callers of", "references to", "usages")),
-    ("CONFIGURATION", "High", ("config", "setting", "default value", "limit")),
-    ("DEBUGGING", "High", ("why does", "error", "exception", "fails", "bug")),
-    ("IMPACT", "High", ("impact", "what breaks", "affected")),
-    ("DEPENDENCY", "High", ("depend", "requires", "imports")),
-    ("CROSS_REPO", "High", ("across repositories", "other repos", "cross-repo")),
-    ("TEST_BEHAVIOR", "High", ("test", "covered by")),
-    ("KNOWLEDGE", "High", ("decision", "adr", "runbook")),
-    ("ARCHITECTURE", "Medium", ("how does", "explain", "works", "architecture")),
-]
-
-
-def intent(question: Column) -> tuple[Column, Column]:
-    """(query type, confidence) of a question: the first rule with a word in it; a High one is Medium if another rule matches too; GENERIC_SEARCH and Low if none does."""
-    low = F.lower(question)
-    hit = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    hits = F.filter(F.array(*[F.when(hit(words), F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"))) for kind, level, words in INTENTS]), lambda x: x.isNotNull())
-    high = F.filter(hits, lambda x: x.getField("level") == "High")
-    first = F.when(F.size(high) > 0, F.get(high, 0)).otherwise(F.get(hits, 0))
-    kind = F.coalesce(first.getField("kind"), F.lit("GENERIC_SEARCH"))
-    level = F.when(F.size(hits) == 0, "Low").when(F.size(hits) > 1, "Medium").otherwise(first.getField("level"))
-    return kind, level
-
-
 def saturate(x: Column) -> Column:
     """A raw score in [0, 1): x / (x + 3)."""
     return F.greatest(x, F.lit(0.0)) / (F.greatest(x, F.lit(0.0)) + 3.0)
@@ -76,6 +49,14 @@ def rank_score(kind: str, values: dict[str, Column]) -> Column:
     return F.round(reduce(lambda a, b: a + b, [F.lit(w) * clamp(values[s]) for s, w in weights.items() if s in values], F.lit(0.0)) / total, 6)
 
 
+def typed_score(query_type: Column, values: dict[str, Column]) -> Column:
+    """As rank_score, where every row has its own type of question."""
+    clamp = lambda v: F.least(F.greatest(F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    weight = lambda i: F.create_map(*[F.lit(x) for k, ws in WEIGHTS.items() for x in (k, float(ws[i]))])[query_type]
+    total = F.create_map(*[F.lit(x) for k, ws in WEIGHTS.items() for x in (k, float(sum(ws)))])[query_type]
+    return F.round(reduce(lambda a, b: a + b, [weight(SIGNALS.index(s)) * clamp(v) for s, v in values.items()], F.lit(0.0)) / total, 6)
+
+
 def freshness_score(state: Column) -> Column:
     pairs = [F.lit(x) for pair in FRESHNESS_SCORE.items() for x in pair]
     return F.create_map(*pairs)[state]
@@ -227,15 +208,3 @@ def derive_claims(evidence: DataFrame, by: list[str], most: int = 12) -> DataFra
     grouped = evidence.groupBy(*by, claim.alias("claim")).agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("id")).alias("evidence_ids"))
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("confidence"), "claim"))
     return grouped.withColumn("place", place).where(F.col("place") <= most).select(*by, "claim", "evidence_ids")
-
-
-#: Words of a question that name nothing (fixed values).
-STOP_WORDS = ("the", "a", "an", "of", "to", "in", "is", "are", "how", "does", "do", "what", "which", "where", "who", "why", "that", "this", "for", "and", "or", "not", "with", "once", "if", "state", "name", "explain", "suppose")
-
-
-def question_terms(question: Column, most: int = 24) -> Column:
-    """The words to search for: no stop words, identifiers and long words first, in order, at most ``most``."""
-    words = F.array_distinct(F.filter(F.split(question, r"[^\w./-]+"), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*STOP_WORDS)))
-    weight = lambda w: F.when(w.rlike("_|[a-z][A-Z]|::|\\."), 2).otherwise(0) + F.when(F.length(w) >= 9, 1).otherwise(0)
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-weight(w)).alias("w"), i.alias("i"), w.alias("word"))))
-    return F.slice(F.transform(ranked, lambda x: x.getField("word")), 1, most)

@@ -287,18 +287,6 @@ def provider_resolution(spark, sf):
 
 
 
-_HITS = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(item_text), '{w}')" for w in words) + f" THEN {i} END" for i, (_, _, words) in enumerate(E.INTENTS))
-_KINDS = "[" + ", ".join(f"'{k}'" for k, _, _ in E.INTENTS) + "]"
-
-
-@query(f"""WITH h AS (SELECT item_id, list_filter([{_HITS}], lambda x: x IS NOT NULL) AS hits FROM eval_items),
-f AS (SELECT item_id, len(hits) AS n, coalesce(list_min(list_filter(hits, lambda x: x < 9)), hits[1]) AS first FROM h)
-SELECT item_id, coalesce({_KINDS}[first + 1], 'GENERIC_SEARCH') AS query_type, CASE WHEN n = 0 THEN 'Low' WHEN n > 1 THEN 'Medium' WHEN first = 9 THEN 'Medium' ELSE 'High' END AS confidence FROM f""")
-def intent_classify(spark, sf):
-    kind, level = E.intent(F.col("item_text"))
-    return read_table(spark, sf, "eval_items", "item_id", "item_text").select("item_id", kind.alias("query_type"), level.alias("confidence"))
-
-
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {float(w)}::DOUBLE)" for k, ws in E.WEIGHTS.items() for s, w in zip(E.SIGNALS, ws)) + ") v(query_type, signal, weight)")
 def ranking_weights(spark, sf):
     return spark.createDataFrame([(k, s, float(w)) for k, ws in E.WEIGHTS.items() for s, w in zip(E.SIGNALS, ws)], "query_type string, signal string, weight double")
@@ -570,11 +558,6 @@ def claim_derive(spark, sf):
     return E.derive_claims(rows, ["repository_id"])
 
 
-@query()
-def question_terms(spark, sf):
-    return read_table(spark, sf, "eval_items", "item_id", "item_text").select("item_id", E.question_terms(F.col("item_text")).alias("terms"))
-
-
 @query(BASE + "SELECT repository_id, path, id FROM newest WHERE path > 'libs/' AND existence_state = 'present' ORDER BY path, repository_id LIMIT 100")
 def keyset_page(spark, sf):
     return latest(spark, sf).where("path > 'libs/' AND existence_state = 'present'").orderBy("path", "repository_id").limit(100).select("repository_id", "path", "id")

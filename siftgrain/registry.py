@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftgrain.plans import corpus_queries, more_queries, problems, search_queries
+from siftgrain.plans import corpus_queries, more_queries, problems, routing_queries, search_queries
 
-_MODULES = (problems, search_queries, corpus_queries, more_queries)
+_MODULES = (problems, search_queries, corpus_queries, more_queries, routing_queries)
 
 
 def queries() -> dict:
