@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftgrain.plans import corpus_queries, more_queries, problems, routing_queries, search_queries
+from siftgrain.plans import change_queries, corpus_queries, more_queries, problems, routing_queries, search_queries
 
-_MODULES = (problems, search_queries, corpus_queries, more_queries, routing_queries)
+_MODULES = (problems, search_queries, corpus_queries, more_queries, routing_queries, change_queries)
 
 
 def queries() -> dict:

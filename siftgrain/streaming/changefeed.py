@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUIET = "30 minutes"
 #: Pending paths of a key beyond which events are shed and a rescan is due.
 CAPACITY = 8192
+#: Bursts of events that are folded in one group.
+BURSTS = 512
 
 
 def _operation(first: Column, last: Column) -> Column:
@@ -126,6 +129,28 @@ def coalesce_renames(events: DataFrame, quiet_ms: int, capacity: int = CAPACITY)
     return events.groupBy("repository_id").applyInPandasWithState(update, CHANGE, "held string", "append", "ProcessingTimeTimeout")
 
 
+def coalesce_bursts(events: DataFrame, quiet_ms: int, capacity: int = CAPACITY) -> DataFrame:
+    """As coalesce_renames, over a finished log: each repository's events are cut into bursts at gaps of more than five quiet periods.
+
+    Nothing is pending across such a gap (a rename waits four quiet periods at
+    most), so bursts are folded apart, and a busy repository is many tasks.
+    """
+    order = W.partitionBy("repository_id").orderBy("at_ms", "path")
+    gap = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(order) > 5 * quiet_ms).cast("int"), F.lit(1))
+    cut = events.withColumn("_gap", gap).withColumn("_burst", F.sum("_gap").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("burst", F.expr(f"_burst div {BURSTS}"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = Coalescer(quiet_ms, capacity), []
+        rows = pdf.sort_values(["at_ms", "path"], kind="stable")
+        for path, kind, at in zip(rows["path"], rows["kind"], rows["at_ms"]):
+            out += held.drain(int(at))
+            held.fold(path, kind, int(at))
+        out += held.drain(1 << 62)
+        return pd.DataFrame([(pdf["repository_id"].iloc[0], *change, held.overflowed) for change in out], columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    return cut.groupBy("repository_id", "burst").applyInPandas(fold, CHANGE)
+
+
 def overflow(events: DataFrame, quiet: str, capacity: int) -> DataFrame:
     """``session_window start, n_paths, overflowed`` per tumbling window: whether more paths were touched than may be pending."""
     counted = events.groupBy(F.window("ts", quiet).alias("w")).agg(F.approx_count_distinct("path").alias("n_paths")) if events.isStreaming else events.groupBy(F.window("ts", quiet).alias("w")).agg(F.count_distinct("path").alias("n_paths"))
