@@ -10,6 +10,11 @@ _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďē
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegiilnnoorssstuuuzzz"
 
 
+def fold_word(word: str) -> str:
+    """A word without diacritics, by the same table."""
+    return word.translate(str.maketrans(_MARKED, _PLAIN))
+
+
 def tokens(text: Column, fold: bool = False) -> Column:
     """The lower-case runs of letters and digits, in order; with ``fold`` without diacritics. Null gives null."""
     low = F.lower(text)

@@ -64,7 +64,8 @@ def search(units: DataFrame, query: str, k: int = 10, scope: Column | None = Non
 def collapse(hits: DataFrame, alternates: int = 64) -> DataFrame:
     """Hits of equal text as one: the best, with the ids of up to ``alternates`` others and the number left out."""
     order = W.partitionBy("canonical_hash").orderBy(F.desc("score"), "unit_id")
-    ranked = hits.withColumn("canonical_hash", F.sha2("text", 256)).withColumn("place", F.row_number().over(order))
+    hashed = hits if "canonical_hash" in hits.columns else hits.withColumn("canonical_hash", F.sha2("text", 256))
+    ranked = hashed.withColumn("place", F.row_number().over(order))
     return (
         ranked.groupBy("canonical_hash")
         .agg(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.functions.keys import norm_id
+from siftgrain.session import checkpoint_dir
 from siftgrain.sources.tables import read_table
 
 
@@ -36,6 +39,21 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return seen.join(files.where("existence_state <> 'deleted'"), "occurrence_id").select(F.col("id").alias("unit_id"), "repository_id", "path", F.col("retrieval_text").alias("text"), "freshness_state", "occurrence_id")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf: str) -> str:
+    """The folder of the search index of the served units, built once per application and set of tables in the shared folder."""
+    from siftgrain.operators import index
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        folder = f"{checkpoint_dir(spark)}/index-{uuid.uuid4()}"
+        index.build(units(spark, sf), folder)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
 BASE = r"""
 WITH occ AS (
   SELECT id, any_value(repository_id) AS repository_id, any_value(source_revision_id) AS source_revision_id, any_value(path) AS path, any_value(content_hash) AS content_hash,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftgrain.functions import paths as P
+from siftgrain.operators import index as I
 from siftgrain.operators import lexical as L
-from siftgrain.plans.base import BASE, KIND, latest, occurrences, units
+from siftgrain.plans.base import BASE, KIND, index_of, latest, occurrences, units
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 #: (name, expression, SQL condition, positive terms)
@@ -38,14 +39,14 @@ hits AS (SELECT unit_id, repository_id, path, text, freshness_state, round({scor
 
 QUERIES, SQL = {}, {}
 for _name, _expression, _condition, _terms in EXPRESSIONS:
-    QUERIES[_name] = lambda spark, sf, e=_expression: L.score_units(units(spark, sf), e).select("unit_id", "repository_id", "path", "score")
+    QUERIES[_name] = lambda spark, sf, e=_expression: I.score_units(spark, index_of(spark, sf), e).select("unit_id", "repository_id", "path", "score")
     SQL[_name] = _scored_sql(_condition, _terms) + "SELECT unit_id, repository_id, path, score FROM hits"
 
 _OR = EXPRESSIONS[0]
 QUERIES |= {
-    "search_top_scoped": lambda spark, sf: L.search(units(spark, sf), _OR[1], 10, P.in_scope(F.col("path"), prefix="services")).select("unit_id", "path", "score"),
-    "search_collapse": lambda spark, sf: L.collapse(L.score_units(units(spark, sf), _OR[1])).withColumn("also_in", F.array_join("also_in", ",")),
-    "rrf_merge_repos": lambda spark, sf: L.merge_repositories(L.score_units(units(spark, sf), _OR[1])).select("unit_id", "repository_id", "place", "rrf_score"),
+    "search_top_scoped": lambda spark, sf: I.score_units(spark, index_of(spark, sf), _OR[1]).where(P.in_scope(F.col("path"), prefix="services")).orderBy(F.desc("score"), "unit_id").limit(10).select("unit_id", "path", "score"),
+    "search_collapse": lambda spark, sf: L.collapse(I.score_units(spark, index_of(spark, sf), _OR[1])).withColumn("also_in", F.array_join("also_in", ",")),
+    "rrf_merge_repos": lambda spark, sf: L.merge_repositories(I.score_units(spark, index_of(spark, sf), _OR[1])).select("unit_id", "repository_id", "place", "rrf_score"),
     "term_diagnostics": lambda spark, sf: L.term_diagnostics(units(spark, sf), ["journal", "zzznothing", "voucher", "limit"]),
     "postings": lambda spark, sf: L.postings(units(spark, sf)),
     "corpus_stats": lambda spark, sf: L.corpus_stats(units(spark, sf)),
@@ -69,6 +70,10 @@ QUERIES |= {
     ),
 }
 
+_FOLDED = "regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')"
+QUERIES["search_folded"] = lambda spark, sf: I.score_units(spark, index_of(spark, sf), "límite OR Zähler OR vérification").select("unit_id", "repository_id", "path", "score")
+SQL["search_folded"] = _scored_sql("has(0) OR has(1) OR has(2)", ["limite", "zahler", "verification"]).replace(TOKENS, _FOLDED) + "SELECT unit_id, repository_id, path, score FROM hits"
+
 SQL |= {
     "search_top_scoped": _scored_sql(_OR[2], _OR[3]) + "SELECT unit_id, path, score FROM hits WHERE path = 'services' OR starts_with(path, 'services/') ORDER BY score DESC, unit_id LIMIT 10",
     "search_collapse": _scored_sql(_OR[2], _OR[3]) + """,
