@@ -85,6 +85,12 @@ def heritage(files: DataFrame) -> DataFrame:
     return out.where((F.col("source") != "") & F.col("target_name").rlike(r"^[A-Za-z_][\w.:\\]*$")).distinct().withColumns({"resolution": F.lit("SYNTACTIC"), "confidence": F.lit(HERITAGE_CONFIDENCE)})
 
 
+def type_references(files: DataFrame) -> DataFrame:
+    """``repository_id, path, source, edge_type, target_name, resolution, confidence``: names in the form of types that a file mentions (two capitals or more), each once; the source is the file."""
+    words = lines_of(files).select("repository_id", "path", F.explode(F.regexp_extract_all("line", F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), F.lit(1))).alias("target_name")).distinct()
+    return words.select("repository_id", "path", F.col("path").alias("source"), F.lit("REFERENCES").alias("edge_type"), "target_name", F.lit("SYNTACTIC").alias("resolution"), F.lit(0.7).alias("confidence"))
+
+
 def calls(files: DataFrame, defined: DataFrame) -> DataFrame:
     """``repository_id, path, source, target, confidence``: calls of functions that the same file defines, from the definition they stand in (null outside any)."""
     words = lines_of(files).select("repository_id", "path", "language", "at", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(?<![\w.])([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("target"))

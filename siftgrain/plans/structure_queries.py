@@ -81,13 +81,13 @@ def heritage_edges(spark, sf):
     return T.heritage(files(spark, sf))
 
 
-@query(_HERITAGE + r""", ts AS (SELECT repository_id, qualified_name, sha256(concat_ws('|', repository_id, language, qualified_name, node_type)) AS symbol_id, max(seq) AS seq FROM nodes WHERE node_type IN ('CLASS', 'INTERFACE', 'STRUCT', 'ENUM', 'UNION', 'TYPE_ALIAS') GROUP BY 1, 2, 3),
-j AS (SELECT h.*, symbol_id, seq, CASE WHEN qualified_name = target_name THEN 2 WHEN ends_with(qualified_name, '.' || target_name) OR ends_with(qualified_name, '::' || target_name) THEN 1 END AS score FROM he h LEFT JOIN ts ON ts.repository_id = h.repository_id AND list_last(string_split_regex(qualified_name, '[.:\\]+')) = list_last(string_split_regex(target_name, '[.:\\]+'))),
+@query(_HERITAGE + r""", rf AS (SELECT * FROM he UNION ALL SELECT DISTINCT repository_id, path, path, 'REFERENCES', unnest(regexp_extract_all(line, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)) FROM li), ts AS (SELECT repository_id, qualified_name, sha256(concat_ws('|', repository_id, language, qualified_name, node_type)) AS symbol_id, max(seq) AS seq FROM nodes WHERE node_type IN ('CLASS', 'INTERFACE', 'STRUCT', 'ENUM', 'UNION', 'TYPE_ALIAS') GROUP BY 1, 2, 3),
+j AS (SELECT h.*, symbol_id, seq, CASE WHEN qualified_name = target_name THEN 2 WHEN ends_with(qualified_name, '.' || target_name) OR ends_with(qualified_name, '::' || target_name) THEN 1 END AS score FROM rf h LEFT JOIN ts ON ts.repository_id = h.repository_id AND list_last(string_split_regex(qualified_name, '[.:\\]+')) = list_last(string_split_regex(target_name, '[.:\\]+'))),
 b AS (SELECT repository_id, path, source, edge_type, target_name, (list(symbol_id ORDER BY score DESC, seq DESC, symbol_id DESC) FILTER (score IS NOT NULL))[1] AS hit FROM j GROUP BY 1, 2, 3, 4, 5)
 SELECT repository_id, path, source, edge_type, target_name, coalesce(hit, 'logical:' || target_name) AS target_id, CASE WHEN hit IS NULL THEN 'SYNTACTIC' ELSE 'SYMBOL_RESOLVED' END AS resolution, CASE WHEN hit IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM b""")
-def heritage_resolved(spark, sf):
-    """The same with their types found in the repository."""
-    return _heritage_resolved(spark, sf)
+def type_edges_resolved(spark, sf):
+    """Heritage and mentions of types with their types found in the repository."""
+    return _type_edges_resolved(spark, sf)
 
 
 def _types(spark, sf) -> DataFrame:
@@ -97,17 +97,18 @@ def _types(spark, sf) -> DataFrame:
     return found.withColumn("symbol_id", named)
 
 
-def _heritage_resolved(spark, sf) -> DataFrame:
+def _type_edges_resolved(spark, sf) -> DataFrame:
     types = _types(spark, sf).groupBy("repository_id", "qualified_name", "symbol_id").agg(F.max("occurrence_seq").alias("seq"))
-    return T.resolve_types(T.heritage(files(spark, sf)), types)
+    rows = files(spark, sf)
+    return T.resolve_types(T.heritage(rows).union(T.type_references(rows)), types)
 
 
-@query(SQL["heritage_resolved"].replace("SELECT repository_id, path, source, edge_type, target_name, coalesce(hit", ", fin AS (SELECT repository_id, path, source, edge_type, target_name, coalesce(hit") + """),
+@query(SQL["type_edges_resolved"].replace("SELECT repository_id, path, source, edge_type, target_name, coalesce(hit", ", fin AS (SELECT repository_id, path, source, edge_type, target_name, coalesce(hit") + """),
 sp AS (SELECT repository_id, sha256(concat_ws('|', repository_id, language, qualified_name, node_type)) AS symbol_id, min(path) AS p FROM nodes WHERE node_type IN ('CLASS', 'INTERFACE', 'STRUCT', 'ENUM', 'UNION', 'TYPE_ALIAS') GROUP BY 1, 2)
 SELECT fin.repository_id, fin.path, source, target_name, coalesce(p, '-') AS target_path FROM fin LEFT JOIN sp ON resolution = 'SYMBOL_RESOLVED' AND sp.repository_id = fin.repository_id AND sp.symbol_id = target_id""")
 def endpoint_join(spark, sf):
-    """Endpoints of heritage edges brought to files: of symbols by their identity, logical ones to none."""
-    edges = _heritage_resolved(spark, sf).withColumn("target_type", F.when(F.col("resolution") == "SYMBOL_RESOLVED", "SYMBOL").otherwise("LOGICAL"))
+    """Endpoints of type edges brought to files: of symbols by their identity, logical ones to none."""
+    edges = _type_edges_resolved(spark, sf).withColumn("target_type", F.when(F.col("resolution") == "SYMBOL_RESOLVED", "SYMBOL").otherwise("LOGICAL"))
     return T.endpoint_paths(edges, _types(spark, sf), latest(spark, sf)).select("repository_id", "path", "source", "target_name", F.coalesce("target_path", F.lit("-")).alias("target_path"))
 
 
@@ -121,20 +122,20 @@ def call_edges(spark, sf):
     return T.calls(rows, T.nodes(rows))
 
 
-_AMBIGUOUS = _NODES + """, cu AS (SELECT name, fl.id, fl.path FROM nodes JOIN fl ON fl.repository_id = nodes.repository_id AND fl.path = nodes.path WHERE freshness_state = 'CURRENT' AND node_type IN ('CLASS', 'INTERFACE', 'STRUCT')),
+_AMBIGUOUS = _NODES + """, cu AS (SELECT name, fl.id, fl.path FROM nodes JOIN fl ON fl.repository_id = nodes.repository_id AND fl.path = nodes.path WHERE freshness_state = 'CURRENT' AND node_type <> 'METHOD'),
 am AS (SELECT name, lag(id) OVER w AS before_id, lag(path) OVER w AS before_path, id, path FROM cu WINDOW w AS (PARTITION BY name ORDER BY id, path))
 """
 
 
 def _ambiguous(spark, sf) -> DataFrame:
     rows = files(spark, sf)
-    defined = T.nodes(rows).where(F.col("node_type").isin("CLASS", "INTERFACE", "STRUCT")).join(rows.where("freshness_state = 'CURRENT'").select("id", "repository_id", "path"), ["repository_id", "path"])
+    defined = T.nodes(rows).where("node_type <> 'METHOD'").join(rows.where("freshness_state = 'CURRENT'").select("id", "repository_id", "path"), ["repository_id", "path"])
     return T.ambiguous_definitions(defined.select("name", "id", "path"))
 
 
 @query(_AMBIGUOUS + "SELECT name, before_id, id FROM am WHERE before_id IS NOT NULL AND before_path <> path")
 def contradiction_definition(spark, sf):
-    """Types of one name that current files next to each other define."""
+    """Names that current files next to each other define."""
     return _ambiguous(spark, sf)
 
 
