@@ -76,6 +76,13 @@ def verdict(provenance: Column, freshness: Column, start: Column, end: Column, r
     )
 
 
+def edge_verdict(resolution: Column, confidence: Column, floor: float) -> Column:
+    """How a relationship counts as evidence: below the floor not at all, unresolved only as context, certain ones are not believed."""
+    return (
+        F.when((resolution != "SYNTACTIC") & (confidence < floor), "BELOW_RELATIONSHIP_FLOOR").when(resolution == "SYNTACTIC", "context_only").when(confidence >= 1.0, "OVERCONFIDENT").otherwise("counts")
+    )
+
+
 def adjacent_conflicts(rows: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """``key, before_id, id``: neighbours of one key, in order, whose values differ; a pair per change, never all pairs."""
     w = W.partitionBy(*key).orderBy(*order)
@@ -124,13 +131,24 @@ def floors(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.withColumn("top", top).withColumn("tier", F.when(F.col("score") >= hard, "primary").when(F.col("score") >= soft, "secondary")).where(F.col("tier").isNotNull()).drop("top")
 
 
-def within_budget(items: DataFrame, by: list[str], size: str, budget: int, order: list[str]) -> DataFrame:
+#: Candidates of one question in the deepest mode (fixed value).
+MOST_CANDIDATES = 5000
+
+
+def best_candidates(items: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group: what a mode admits as candidates. The limit is part of the question, and makes the groups that are folded bounded."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    return items.withColumn("_place", place).where(F.col("_place") <= most)
+
+
+def within_budget(items: DataFrame, by: list[str], size: str, budget: int, order: list[str], most: int = MOST_CANDIDATES) -> DataFrame:
     """``by, id``: items taken in order as long as they fit, one too large being skipped, not the end; a fold over each group's ordered array.
 
-    A group is the evidence of one question, which its mode bounds (at most
-    5000 candidates); the fold keeps a running total and the ids taken.
+    Only the ``most`` first candidates of a group are looked at (its mode's
+    limit), ranked before anything is collected; the fold keeps a running total
+    and the ids taken.
     """
-    arrays = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("size"), F.col("id")))).alias("all"))
+    arrays = best_candidates(items, by, order, most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", F.col(size).cast("bigint").alias("size"), F.col("id")))).alias("all"))
     zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("kept"))
     step = lambda acc, x: F.when(
         acc.getField("used") + x.getField("size") <= budget,
@@ -139,6 +157,23 @@ def within_budget(items: DataFrame, by: list[str], size: str, budget: int, order
     return arrays.select(*by, F.explode(F.aggregate("all", zero, step).getField("kept")).alias("id"))
 
 
+def response_within(items: DataFrame, claims: DataFrame, by: list[str], size: str, budget: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept items, supported claims) of a response of at most ``budget`` bytes: items whole and in order up to the first that does not fit, and ``by, claim, n_all, n_kept`` of the claims that still have evidence (``claims`` has ``by, claim, id``)."""
+    used = F.sum(size).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    kept = items.withColumn("_used", used).where(F.col("_used") <= budget).drop("_used")
+    marked = claims.join(kept.select("id", F.lit(1).alias("_kept")).distinct(), "id", "left")
+    return kept, marked.groupBy(*by, "claim").agg(F.count("*").alias("n_all"), F.count("_kept").alias("n_kept")).where("n_kept > 0")
+
+
+def budget_result(insufficient: Column, limits_hit: Column) -> Column:
+    """The result of an answer from whether its evidence is insufficient and the limits it hit, in order. Insufficient with any limit hit counts as degraded by time."""
+    first = F.get(limits_hit, 0)
+    return (
+        F.when(insufficient & first.isNotNull(), "DEGRADED_BY_TIME").when(insufficient, "INSUFFICIENT_EVIDENCE").when(first.isNull(), "COMPLETED_WITHIN_BUDGET")
+        .when(first == "max_candidates", "DEGRADED_BY_CANDIDATES").when(first.isin("max_fs_files", "max_fs_bytes"), "DEGRADED_BY_FS_BUDGET").otherwise("DEGRADED_BY_TIME")
+    )
+
+
 def verify_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """``claim_id, status``: SUPPORTED if all its evidence exists and is current, WITH_DISCLOSURE if some is stale, REJECTED if any is missing or invalid or it has none."""
     refs = claims.select("claim_id", F.explode_outer("evidence_ids").alias("id")).join(evidence.select("id", "freshness_state"), "id", "left")
@@ -185,9 +220,10 @@ def sufficiency(evidence: DataFrame, required: DataFrame) -> DataFrame:
     return seen.join(needs, "query_type", "left").select("query_id", "query_type", (F.col("kinds").isNull() | F.arrays_overlap("kinds", "have")).alias("satisfied"))
 
 
-def section_caps(ranked: DataFrame, by: list[str], primary: str, order: list[str]) -> DataFrame:
-    """``by, id`` kept per section: the primary section uncapped, another at most two while no other has been served, else one. Order-dependent, so a fold over each group's ordered array (a bounded candidate list)."""
-    arrays = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((F.col("section") != primary).cast("int").alias("rest"), *order, "id", "section"))).alias("all"))
+def section_caps(ranked: DataFrame, by: list[str], primary: str, order: list[str], most: int = MOST_CANDIDATES) -> DataFrame:
+    """``by, id`` kept per section: the primary section uncapped, another at most two while no other has been served, else one. Order-dependent, so a fold over the ordered array of each group's ``most`` best candidates."""
+    rest = (F.col("section") != primary).cast("int")
+    arrays = best_candidates(ranked.withColumn("_rest", rest), by, ["_rest", *order, "id"], most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "id", "section"))).alias("all"))
     zero = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("served"), F.array().cast("array<string>").alias("kept"))
     had = lambda acc, s: F.coalesce(acc.getField("served")[s], F.lit(0))
     others = lambda acc, s: F.size(F.filter(F.map_keys(acc.getField("served")), lambda k: (k != s) & (k != primary)))

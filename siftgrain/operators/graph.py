@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,15 @@ from siftgrain.session import cut_lineage
 CUT_EVERY = 4
 
 
+#: Limits of a workspace run (fixed values).
+WORKSPACE_LIMITS = {"manifest_bytes": 262144, "declarations_per_repository": 2000, "identities_per_repository": 512, "repositories_per_run": 64, "candidates_per_key": 32}
+
+
+def with_proximity(reached: DataFrame) -> DataFrame:
+    """``node, depth, proximity`` of what was reached, the seeds left out: 0.9 next to them, 0.6 one further, 0.3 beyond."""
+    return reached.where("depth > 0").select("node", "depth", F.when(F.col("depth") == 1, 0.9).when(F.col("depth") == 2, 0.6).otherwise(0.3).alias("proximity"))
+
+
 def resolve_providers(declarations: DataFrame, provides: DataFrame) -> DataFrame:
     """``consumer, name, status, provider``: declarations joined to what other repositories provide.
 
@@ -93,11 +104,51 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component``: strongly connected components, named by their least node."""
+    """``node, component``: strongly connected components, named by their least node.
+
+    Nodes without an edge in or out are components of their own and are trimmed
+    first. Of the rest every node takes the least name that reaches it, until
+    none changes; going back from each name's own node along edges between nodes
+    of that name gives its component, which is taken out. No pairs of nodes are
+    ever listed: a round joins one name per node to the edges.
+    """
+    hops = cut_lineage(edges.select("source", "target").where("source <> target").distinct())
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    reachable = closure(edges)
-    mutual = reachable.alias("a").join(reachable.alias("b"), (F.col("a.source") == F.col("b.target")) & (F.col("a.target") == F.col("b.source"))).select(F.col("a.source").alias("node"), F.col("a.target").alias("other"))
-    return mutual.union(nodes.select("node", F.col("node").alias("other"))).groupBy("node").agg(F.min("other").alias("component"))
+    left, parts = hops, []
+    while True:
+        while True:  # trim
+            inner = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+            inner = cut_lineage(inner)
+            same = inner.count() == left.count()
+            left = inner
+            if same:
+                break
+        if left.isEmpty():
+            break
+        name = cut_lineage(left.select(F.col("source").alias("node")).union(left.select("target")).distinct().withColumn("name", F.col("node")))
+        while True:  # the least name that reaches each node
+            sent = left.join(name, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("name").alias("sent"))
+            new = cut_lineage(name.join(sent, "node", "left").select("node", F.least("name", F.coalesce("sent", F.col("name"))).alias("name"), (F.coalesce("sent", F.col("name")) < F.col("name")).alias("moved")))
+            done = new.where("moved").isEmpty()
+            name = new.drop("moved")
+            if done:
+                break
+        of = lambda side: name.select(F.col("node").alias(side), F.col("name").alias(f"{side}_name"))
+        within = cut_lineage(left.join(of("source"), "source").join(of("target"), "target").where("source_name = target_name").select("source", "target", F.col("source_name").alias("name")))
+        found = cut_lineage(name.where("node = name"))
+        while True:  # back from each name's own node
+            more = within.join(found.select(F.col("node").alias("target"), "name"), ["target", "name"]).select(F.col("source").alias("node"), "name").distinct().join(found, ["node", "name"], "left_anti")
+            more = cut_lineage(more)
+            if more.isEmpty():
+                break
+            found = cut_lineage(found.unionByName(more))
+        parts.append(found)
+        gone = found.select("node")
+        left = cut_lineage(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+    if not parts:
+        return nodes.select("node", F.col("node").alias("component"))
+    named = reduce(DataFrame.unionByName, parts).select("node", F.col("name").alias("component"))
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def waves(edges: DataFrame) -> DataFrame:

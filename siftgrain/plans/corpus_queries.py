@@ -14,7 +14,6 @@ from siftgrain.operators import jsonops as J
 from siftgrain.operators import versions as V
 from siftgrain.plans.base import BASE, KIND, folded, latest, occurrences, units
 from siftgrain.sources.discovery import masked, masked_count
-from siftgrain.sources.manifests import scan_manifests
 from siftgrain.sources.tables import read_table
 from siftgrain.streaming import changefeed as S
 
@@ -273,21 +272,23 @@ def wave_layers(spark, sf):
     return G.waves(_edges(spark, sf))
 
 
-_CATALOG = "WITH d AS (SELECT DISTINCT repository_id AS consumer, split_part(path, '/', 1) || ':' || regexp_extract(path, '([^/]+)$', 1) AS name FROM file_occurrences WHERE path LIKE '%.toml'), p AS (SELECT DISTINCT repository_id AS provider, split_part(path, '/', 1) || ':' || regexp_extract(path, '([^/]+)$', 1) AS name FROM file_occurrences WHERE path LIKE '%.toml' AND path LIKE '%/src/%')"
-
-
-@query(_CATALOG + """, j AS (SELECT consumer, d.name, CASE WHEN provider <> consumer THEN provider END AS provider FROM d LEFT JOIN p USING (name))
-SELECT consumer, name, CASE WHEN count(provider) = 1 THEN 'resolved' WHEN count(provider) > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN count(provider) = 1 THEN min(provider) END AS provider FROM j GROUP BY 1, 2""")
-def provider_resolution(spark, sf):
-    files = read_table(spark, sf, "file_occurrences", "repository_id", "path").where("path LIKE '%.toml'").withColumn("name", F.concat_ws(":", F.split_part("path", F.lit("/"), F.lit(1)), F.element_at(F.split("path", "/"), -1)))
-    return G.resolve_providers(files.select("repository_id", "name"), files.where("path LIKE '%/src/%'").select("repository_id", "name"))
-
-
 # --- evidence -------------------------------------------------------------
 
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {float(w)}::DOUBLE)" for k, ws in E.WEIGHTS.items() for s, w in zip(E.SIGNALS, ws)) + ") v(query_type, signal, weight)")
+@query("""WITH w AS (SELECT * FROM (VALUES ('EXACT_LOOKUP', 1.5, 3, 2, 0.5, 2, 0.5, 0, 0, 0),
+('DEFINITION', 1.5, 3, 2, 0.5, 2, 0.5, 0, 0, 0),
+('SYMBOL_NAVIGATION', 1, 2.5, 2, 0.5, 1, 0.5, 2.5, 0, 0),
+('CONFIGURATION', 1.5, 0.5, 2, 0.5, 2, 0, 0, 1.5, 0),
+('ARCHITECTURE', 1.5, 1, 2, 0.5, 1, 1.5, 1, 2, 1),
+('DEBUGGING', 1.5, 1, 2, 0.5, 1.5, 1, 1, 1.5, 2),
+('IMPACT', 1, 2, 2, 0.5, 1, 1, 2.5, 0, 1.5),
+('DEPENDENCY', 1, 1, 2, 1, 1, 0.5, 3, 0.5, 0),
+('CROSS_REPO', 1, 1, 2, 1, 1, 0.5, 3, 0.5, 0),
+('TEST_BEHAVIOR', 1.5, 1, 2, 0.5, 1, 0.5, 0.5, 0.5, 3),
+('KNOWLEDGE', 1.5, 0.5, 2, 0.5, 1, 0, 0, 3, 0),
+('GENERIC_SEARCH', 2.5, 1, 1, 0.5, 1, 0.5, 0.5, 0.5, 0.5)) v(query_type, lexical, symbol, intent, repo, freshness, structural, relationship, knowledge, test))
+SELECT query_type, signal, weight::DOUBLE AS weight FROM (UNPIVOT w ON lexical, symbol, intent, repo, freshness, structural, relationship, knowledge, test INTO NAME signal VALUE weight)""")
 def ranking_weights(spark, sf):
     return spark.createDataFrame([(k, s, float(w)) for k, ws in E.WEIGHTS.items() for s, w in zip(E.SIGNALS, ws)], "query_type string, signal string, weight double")
 
@@ -342,10 +343,13 @@ def score_floors(spark, sf):
     return E.floors(_ranked(spark, sf), ["repository_id"])
 
 
-@query()
+@query(_RANKED.replace("WITH occ", "WITH RECURSIVE occ", 1) + """, i AS (SELECT r.repository_id, fusion_key AS id, o.size_bytes AS s, row_number() OVER (PARTITION BY r.repository_id ORDER BY score DESC, r.path, fusion_key) AS k FROM ranked r JOIN occ o ON o.id = fusion_key),
+f AS (SELECT repository_id, k, id, CASE WHEN s <= 16384 THEN s ELSE 0 END AS used, s <= 16384 AS took FROM i WHERE k = 1
+  UNION ALL SELECT i.repository_id, i.k, i.id, used + CASE WHEN used + s <= 16384 THEN s ELSE 0 END, used + s <= 16384 FROM f JOIN i ON i.repository_id = f.repository_id AND i.k = f.k + 1)
+SELECT repository_id, id FROM f WHERE took""")
 def context_budget(spark, sf):
     items = _ranked(spark, sf).join(occurrences(spark, sf, "size_bytes").withColumnRenamed("id", "fusion_key"), "fusion_key").withColumn("neg", -F.col("score"))
-    return E.within_budget(items.withColumn("id", F.col("fusion_key")), ["repository_id"], "size_bytes", 16384, ["neg", "path"])
+    return E.within_budget(items.withColumn("id", F.col("fusion_key")), ["repository_id"], "size_bytes", 16384, ["neg", "path", "id"])
 
 
 @query(BASE + """, v AS (SELECT CASE WHEN occurrence_id IS NULL THEN 'MISSING_PROVENANCE' WHEN freshness_state = 'INVALID' THEN 'INVALID_SOURCE' WHEN start_line >= end_line THEN 'BAD_SPAN' WHEN freshness_state <> 'CURRENT' OR freshness_state IS NULL THEN 'FRESHNESS' ELSE 'counts' END AS verdict FROM un)
@@ -430,7 +434,18 @@ def import_lines(spark, sf):
     return C.imports(_files(spark, sf))
 
 
-@query()
+_JOINED = "concat_ws('/', d, regexp_replace(s, '^\\./', ''))"
+_DOTTED = "replace(s, '.', '/')"
+
+
+@query(_LINES + f""", im AS (SELECT DISTINCT repository_id, path, {_NAMES} AS language, {_CASE(_IMPORTS_SQL, 1)} AS s, regexp_replace(path, '/?[^/]*$', '') AS d FROM l WHERE {_CASE(_IMPORTS_SQL, 1)} <> ''),
+ca AS (SELECT repository_id, path, s, CASE WHEN language IN ('javascript', 'typescript') THEN list_concat([{_JOINED}], list_transform(['.ts', '.js', '/index.ts', '/index.js'], lambda x: regexp_replace({_JOINED}, '\\.js$', '') || x))
+  WHEN language = 'python' THEN [concat_ws('/', d, {_DOTTED} || '.py'), concat_ws('/', d, {_DOTTED} || '/__init__.py'), 'src/' || {_DOTTED} || '.py']
+  WHEN language = 'java' THEN ['src/main/java/' || {_DOTTED} || '.java', 'src/main/java/' || {_DOTTED} || '.kt', 'src/test/java/' || {_DOTTED} || '.java', 'src/test/java/' || {_DOTTED} || '.kt', 'src/' || {_DOTTED} || '.java', 'src/' || {_DOTTED} || '.kt', {_DOTTED} || '.java', {_DOTTED} || '.kt']
+  WHEN language = 'rust' THEN [concat_ws('/', d, regexp_replace(regexp_replace(s, '^crate::', ''), '::.*', '') || '.rs')] ELSE [] END AS c FROM im),
+ex AS (SELECT repository_id, path, s, unnest(c) AS candidate, generate_subscripts(c, 1) AS pos FROM ca), hi AS (SELECT ex.*, n.path AS known FROM ex JOIN newest n ON n.repository_id = ex.repository_id AND n.path = candidate),
+be AS (SELECT repository_id, path, s, arg_min(known, pos) AS target FROM hi GROUP BY 1, 2, 3)
+SELECT im.repository_id, im.path, im.s AS specifier, coalesce(target, 'logical:' || im.s) AS target FROM (SELECT DISTINCT repository_id, path, s FROM im) im LEFT JOIN be USING (repository_id, path, s)""")
 def resolved_imports(spark, sf):
     files = _files(spark, sf)
     return C.resolve_imports(C.imports(files), latest(spark, sf).select("repository_id", "path"))
@@ -448,21 +463,27 @@ def symbol_lookup(spark, sf):
     return C.find_symbol(C.symbols(_files(spark, sf)), "LocalJournal")
 
 
-@query()
-def manifest_scan(spark, sf):
-    return scan_manifests(_files(spark, sf))
-
-
 def _json_files(spark, sf):
     return _files(spark, sf).where(F.lower("path").endswith(".json")).select("id", "content")
 
 
-@query()
+_JSON = BASE.replace("WITH occ", "WITH RECURSIVE occ", 1) + r""", jf AS (SELECT n.id, ltrim(any_value(content), chr(65279)) AS t FROM newest n JOIN file_contents c ON c.file_occurrence_id = n.id WHERE lower(n.path) LIKE '%.json' GROUP BY 1),
+jv AS (SELECT id, t::JSON AS j FROM jf WHERE json_valid(t)),
+jt AS (SELECT id, '' AS pointer, j AS v FROM jv
+  UNION ALL SELECT id, pointer || '/' || k, v FROM (SELECT id, pointer, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'k': replace(replace(k, '~', '~0'), '/', '~1'), 'v': json_extract(v, '$."' || k || '"')})
+    WHEN 'ARRAY' THEN list_transform(generate_series(0, json_array_length(v)::BIGINT - 1), lambda i: {'k': i::VARCHAR, 'v': json_extract(v, '$[' || i || ']')}) END, recursive := true) FROM jt WHERE json_type(v) IN ('OBJECT', 'ARRAY'))),
+lv AS (SELECT id, pointer, CASE json_type(v) WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'OBJECT' THEN 'dict' ELSE 'list' END AS value_type, v::VARCHAR AS value
+  FROM jt WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') OR v::VARCHAR IN ('{}', '[]'))
+"""
+
+
+@query(_JSON + "SELECT * FROM lv")
 def json_pointers(spark, sf):
     return J.leaves(_json_files(spark, sf))
 
 
-@query()
+@query(_JSON + """, rf AS (SELECT id, CASE WHEN list_last(string_split(pointer, '/')) = 'limit' THEN 'definition' WHEN value = '"limit"' THEN 'reference' WHEN contains(pointer, 'limit') OR contains(value, 'limit') THEN 'uncertain' END AS certainty FROM lv)
+SELECT id, certainty, count(*) AS n FROM rf WHERE certainty IS NOT NULL GROUP BY 1, 2""")
 def json_references(spark, sf):
     return J.references(J.leaves(_json_files(spark, sf)), "limit").groupBy("id", "certainty").agg(F.count("*").alias("n"))
 
@@ -477,7 +498,9 @@ def json_extract_group(spark, sf):
     return read_table(spark, sf, "events", "event_type", "props", "value").groupBy("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-@query()
+@query(BASE + r""", p AS (SELECT unit_id, text, len(regexp_extract_all(text, '(?i)\b(password|passwd|pwd|secret|token|api[_-]?key)(\s*[:=]\s*)(["'']?)[^\s"'']{8,}')) + len(regexp_extract_all(text, '\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|glpat-[\w-]{16,}|[srp]k_live_\w{10,})')) + len(regexp_extract_all(text, '(://[^/\s:@]+:)[^@\s/]+@')) AS n FROM units),
+m AS (SELECT unit_id, n, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(password|passwd|pwd|secret|token|api[_-]?key)(\s*[:=]\s*)(["'']?)[^\s"'']{8,}', '\1\2\3[REDACTED]', 'g'), '\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|glpat-[\w-]{16,}|[srp]k_live_\w{10,})', '[REDACTED]', 'g'), '(://[^/\s:@]+:)[^@\s/]+@', '\1[REDACTED]@', 'g') AS t FROM p)
+SELECT unit_id, n::INT AS n_masked, sha256(t) AS masked_hash FROM m WHERE n > 0""")
 def masked_units(spark, sf):
     return units(spark, sf).select("unit_id", masked_count(F.col("text")).alias("n_masked"), F.sha2(masked(F.col("text")), 256).alias("masked_hash")).where("n_masked > 0")
 
@@ -509,7 +532,7 @@ def coalesce_batch(spark, sf):
     return S.coalesce_sessions(_changes(read_table(spark, sf, "events", "user_id", "event_type", "ts", "event_id")))
 
 
-@query()
+@query(SQL["coalesce_batch"].replace("SELECT path, session_start", "SELECT path, session_start", 1) + " AND session_end <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE")
 def coalesce_stream(spark, sf):
     """The same over a file stream, run to its end; sessions still open at the watermark are held back."""
     from siftgrain.session import checkpoint_dir
@@ -521,7 +544,8 @@ def coalesce_stream(spark, sf):
     out = S.coalesce_stream(_changes(feed.withColumn("ts", F.col("ts").cast("timestamp"))))
     run = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}.at").option("path", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{checkpoint_dir(spark)}/{name}")
+    done = spark.read.schema(out.schema).parquet(f"{checkpoint_dir(spark)}/{name}")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(DISTINCT user_id) AS n_paths, count(DISTINCT user_id) > 10 AS overflowed FROM events WHERE event_type <> 'purchase' GROUP BY 1")
@@ -532,7 +556,11 @@ def overflow_flag(spark, sf):
 # --- more evidence, pages and boundaries ----------------------------------
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', '{c[1]}', {c[2] if c[2] is not None else 'NULL'}::DOUBLE, {c[4]}, {c[5]})" for k, c in E.CONTRACTS.items() for s in (c[0] or ("ANY",))) + ") v(query_type, source_type, freshness, min_confidence, rounds, extra)")
+@query("""WITH c AS (SELECT * FROM (VALUES ('DEFINITION', 'CURRENT_ONLY', -1, 2, 20, ['SOURCE_CODE', 'GENERATED_SOURCE']), ('EXACT_LOOKUP', 'CURRENT_ONLY', -1, 2, 10, ['SOURCE_CODE', 'CONFIGURATION', 'DOCUMENTATION', 'KNOWLEDGE', 'TEST']), ('SYMBOL_NAVIGATION', 'CURRENT_OR_STALE', 0.6, 2, 30, ['SOURCE_CODE']),
+('CONFIGURATION', 'CURRENT_ONLY', -1, 2, 20, ['CONFIGURATION']), ('ARCHITECTURE', 'CURRENT_OR_STALE', 0.5, 3, 50, ['SOURCE_CODE']), ('DEBUGGING', 'CURRENT_ONLY', 0.5, 3, 50, ['SOURCE_CODE']), ('IMPACT', 'CURRENT_OR_STALE', 0.5, 2, 40, ['SOURCE_CODE', 'GENERATED_SOURCE']),
+('DEPENDENCY', 'CURRENT_OR_STALE', 0.6, 2, 30, ['CONFIGURATION', 'SOURCE_CODE', 'RELATIONSHIP']), ('CROSS_REPO', 'CURRENT_OR_STALE', 0.6, 2, 30, ['CONFIGURATION', 'SOURCE_CODE', 'RELATIONSHIP']), ('KNOWLEDGE', 'CURRENT_OR_STALE', -1, 1, 20, ['KNOWLEDGE', 'DOCUMENTATION']),
+('TEST_BEHAVIOR', 'CURRENT_OR_STALE', -1, 2, 30, ['TEST']), ('GENERIC_SEARCH', 'ANY', -1, 1, 50, ['ANY'])) v(query_type, freshness, least_, rounds, extra, kinds))
+SELECT query_type, unnest(kinds) AS source_type, freshness, CASE WHEN least_ > 0 THEN least_::DOUBLE END AS min_confidence, rounds, extra FROM c""")
 def contracts(spark, sf):
     rows = [(k, s, c[1], c[2], c[4], c[5]) for k, c in E.CONTRACTS.items() for s in (c[0] or ("ANY",))]
     return spark.createDataFrame(rows, "query_type string, source_type string, freshness string, min_confidence double, rounds int, extra int")
@@ -546,16 +574,22 @@ def requirement_sufficiency(spark, sf):
     return E.sufficiency(rows, needed)
 
 
-@query()
+@query(_RANKED.replace("WITH occ", "WITH RECURSIVE occ", 1) + f""", i AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY (section <> 'SOURCE_CODE')::INT, score DESC, id) AS k FROM (SELECT repository_id, fusion_key AS id, score, {KIND} AS section FROM ranked)),
+f AS (SELECT repository_id, k, id, true AS took, [section] AS served FROM i WHERE k = 1
+  UNION ALL SELECT i.repository_id, i.k, i.id, section = 'SOURCE_CODE' OR len(list_filter(served, lambda x: x = section)) < CASE WHEN len(list_filter(served, lambda x: x <> section AND x <> 'SOURCE_CODE')) > 0 THEN 1 ELSE 2 END,
+    CASE WHEN section = 'SOURCE_CODE' OR len(list_filter(served, lambda x: x = section)) < CASE WHEN len(list_filter(served, lambda x: x <> section AND x <> 'SOURCE_CODE')) > 0 THEN 1 ELSE 2 END THEN list_append(served, section) ELSE served END FROM f JOIN i ON i.repository_id = f.repository_id AND i.k = f.k + 1)
+SELECT repository_id, id FROM f WHERE took""")
 def section_caps(spark, sf):
     rows = _ranked(spark, sf).select("repository_id", F.col("fusion_key").alias("id"), source_type(F.col("path")).alias("section"), (-F.col("score")).alias("neg"))
     return E.section_caps(rows, ["repository_id"], "SOURCE_CODE", ["neg"])
 
 
-@query()
+@query(_RANKED + f""", cd AS (SELECT repository_id, fusion_key AS id, confidence, path || CASE {KIND} WHEN 'CONFIGURATION' THEN ' configures it' WHEN 'TEST' THEN ' tests it' WHEN 'KNOWLEDGE' THEN ' describes it' WHEN 'DOCUMENTATION' THEN ' describes it' ELSE ' implements it' END AS claim FROM ranked),
+g AS (SELECT repository_id, claim, max(confidence) AS m, string_agg(DISTINCT id, ',' ORDER BY id) AS evidence_ids FROM cd GROUP BY 1, 2)
+SELECT repository_id, claim, evidence_ids FROM g QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY m DESC, claim) <= 12""")
 def claim_derive(spark, sf):
     rows = _ranked(spark, sf).select("repository_id", F.col("fusion_key").alias("id"), "path", "confidence", source_type(F.col("path")).alias("source_type"))
-    return E.derive_claims(rows, ["repository_id"])
+    return E.derive_claims(rows, ["repository_id"]).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
 @query(BASE + "SELECT repository_id, path, id FROM newest WHERE path > 'libs/' AND existence_state = 'present' ORDER BY path, repository_id LIMIT 100")

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 MODES = {"FAST": (300, 50, 1, 25, 4096), "NORMAL": (3000, 500, 3, 200, 16384), "DEEP": (30000, 5000, 8, 2000, 65536)}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in MODES.items()) + ") v(mode, deadline_ms, candidates, graph_depth, graph_nodes, context_tokens)")
+@query("SELECT * FROM (VALUES ('FAST', 300, 50, 1, 25, 4096), ('NORMAL', 3000, 500, 3, 200, 16384), ('DEEP', 30000, 5000, 8, 2000, 65536)) v(mode, deadline_ms, candidates, graph_depth, graph_nodes, context_tokens)")
 def mode_budgets(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in MODES.items()], "mode string, deadline_ms int, candidates int, graph_depth int, graph_nodes int, context_tokens int")
 

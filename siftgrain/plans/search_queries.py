@@ -90,6 +90,9 @@ SELECT unit_id, substr(array_to_string(rows[greatest(best - 1, 0) + 1 : best + 2
     "grep_literal": BASE + ", l AS (SELECT unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM units) SELECT unit_id, line_no, strlen(split_part(line, 'TODO remove', 1)) + 1 AS byte_column, line FROM l WHERE contains(line, 'TODO remove')",
     "grep_regex": BASE + r", l AS (SELECT unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM units) SELECT unit_id, line_no, strlen(regexp_extract(line, '^(.*?)(?:raise|throw) [A-Za-z ]+Error', 1)) + 1 AS byte_column, line FROM l WHERE regexp_matches(line, '(?:raise|throw) [A-Za-z ]+Error')",
     "file_window": BASE + "SELECT unit_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS window_text FROM units",
+    "chunk_lines": BASE.replace("WITH occ", "WITH RECURSIVE occ", 1) + """, l AS (SELECT unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM units), s AS (SELECT unit_id, k, (strlen(line) + 1)::INT AS s FROM l),
+f AS (SELECT unit_id, k, k AS first, s AS size FROM s WHERE k = 0 UNION ALL SELECT s.unit_id, s.k, CASE WHEN size + s.s <= 500 THEN first ELSE s.k END, CASE WHEN size + s.s <= 500 THEN size + s.s ELSE s.s END FROM f JOIN s ON s.unit_id = f.unit_id AND s.k = f.k + 1)
+SELECT unit_id, first::INT AS first, count(*)::INT AS n, max(size) AS size FROM f GROUP BY 1, 2""",
     "path_scope_exact": BASE + "SELECT repository_id, path FROM newest WHERE path = 'apps/batch-load-18/docs/request_volume_pack.toml'",
     "path_scope_prefix": BASE + "SELECT repository_id, path FROM newest WHERE path = 'tools' OR starts_with(path, 'tools/')",
     "path_scope_glob": BASE + "SELECT repository_id, path FROM newest WHERE path GLOB 'libs/*/core/*.?s' OR regexp_matches(path, '^libs/.*/core/.*\\..s$')",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftgrain.plans import change_queries, corpus_queries, more_queries, problems, routing_queries, search_queries, structure_queries
+from siftgrain.plans import change_queries, corpus_queries, evidence_queries, more_queries, problems, routing_queries, search_queries, structure_queries, workspace_queries
 
-_MODULES = (problems, search_queries, corpus_queries, more_queries, routing_queries, change_queries, structure_queries)
+_MODULES = (problems, search_queries, corpus_queries, more_queries, routing_queries, change_queries, structure_queries, workspace_queries, evidence_queries)
 
 
 def queries() -> dict:
