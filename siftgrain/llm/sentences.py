@@ -276,15 +276,13 @@ def collect_model(learned: DataFrame, limit: int = MODEL_LIMIT, shards: int = SH
 
 def _before(part: str, start: int, at: int) -> str:
     """The token that ends at ``at``, without opening signs."""
-    reach = 60
-    while True:
-        around = part[max(start, at - reach) : at]
-        if not around or around[-1].isspace():
-            return ""
-        pieces = around.rsplit(None, 1)
-        if len(pieces) > 1 or around[0].isspace() or at - reach <= start:
-            return pieces[-1].lstrip(_LEAD)
-        reach *= 8  # a token longer than was looked at
+    around = part[max(start, at - 40) : at]
+    if not around or around[-1].isspace():
+        return ""
+    pieces = around.rsplit(None, 1)
+    if len(pieces) == 1 and at - 40 > start and not around[0].isspace():  # longer than was looked at
+        pieces = part[start:at].rsplit(None, 1)
+    return pieces[-1].lstrip(_LEAD)
 
 
 class Splitter:
@@ -386,8 +384,10 @@ class Splitter:
         if marks == "." and spaced and not inside and stop == at + 1:
             # a period after an ordinary word, the usual case
             token = _before(part, start, at)
-            if len(token) > 1 and token.isalpha() and not self.has(lang, "abbr", token.lower()):
-                return True
+            if len(token) > 1 and token.isalpha():
+                word = token.lower()
+                if not (self.stored.has(lang, "abbr", word) if self.stored else word in self.model.get((lang, "abbr"), self.none)):
+                    return True
         wide = marks[-1] in "。！？"
         if not spaced and not wide and marks[-1] not in "।؟۔":
             # a sentence glued to the one before: an ordinary word, then a known beginning
