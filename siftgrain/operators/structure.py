@@ -51,18 +51,19 @@ def nodes(files: DataFrame) -> DataFrame:
     indentation shows nesting), else in its file; it reaches to the next one that
     is indented no more. A function in a class is a METHOD. ``identity`` names it
     by language, qualified name and type, so that moves and renames of the file
-    keep it. The file's definitions are one window, ordered by line.
+    keep it. The file's definitions are one ordered list, no larger than the file.
     """
     rows = lines_of(files).withColumn("word", F.lower(_of(DEFINITIONS, 1))).withColumn("name", _of(DEFINITIONS, 2)).where(F.col("name") != "")
     indent = F.when(F.col("language").isin(*_INDENTED), F.length(F.regexp_replace(F.regexp_extract("line", r"^([ \t]*)", 1), "\t", "    "))).otherwise(0)
     types = F.create_map(*[F.lit(x) for pair in NODE_TYPES.items() for x in pair])
     found = rows.select("repository_id", "path", "language", types[F.col("word")].alias("node_type"), "name", F.col("at").alias("start_line"), indent.alias("depth"))
-    above = W.partitionBy("repository_id", "path").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
-    below = W.partitionBy("repository_id", "path").orderBy("start_line").rowsBetween(1, W.unboundedFollowing)
-    # the open definition of each of the first levels, newest first: a deeper one is closed by a shallower one after it
-    seen = found.withColumn("_above", F.filter(F.collect_list(F.struct("start_line", "depth", "name", "node_type")).over(above), lambda x: x.getField("depth") < F.col("depth")))
-    parent = F.aggregate("_above", F.lit(None).cast("struct<start_line:int,depth:int,name:string,node_type:string>"), lambda acc, x: x)
-    seen = seen.withColumn("_parent", parent).withColumn("end_line", F.array_min(F.transform(F.filter(F.collect_list(F.struct("start_line", "depth")).over(below), lambda x: x.getField("depth") <= F.col("depth")), lambda x: x.getField("start_line"))))
+    grouped = found.groupBy("repository_id", "path", "language").agg(F.array_sort(F.collect_list(F.struct("start_line", "depth", "name", "node_type"))).alias("_all"))
+    # the nearest shallower one above, and the first below that is no deeper; nothing but the file's own list is kept
+    shape = "struct<start_line:int,depth:int,name:string,node_type:string>"
+    parent = lambda x, i: F.aggregate(F.slice("_all", 1, i), F.lit(None).cast(shape), lambda acc, y: F.when(y["depth"] < x["depth"], y).otherwise(acc))
+    stop = lambda x, i: F.aggregate(F.slice("_all", i + 2, F.size("_all")), F.lit(None).cast("int"), lambda acc, y: F.coalesce(acc, F.when(y["depth"] <= x["depth"], y["start_line"])))
+    each = F.transform("_all", lambda x, i: F.struct(x["name"].alias("name"), x["node_type"].alias("node_type"), x["start_line"].alias("start_line"), parent(x, i).alias("_parent"), stop(x, i).alias("end_line")))
+    seen = grouped.select("repository_id", "path", "language", F.inline(each))
     kind = F.when((F.col("node_type") == "FUNCTION") & F.col("_parent.node_type").isin("CLASS", "INTERFACE", "STRUCT", "ENUM", "OBJECT"), "METHOD").otherwise(F.col("node_type"))
     qualified = F.concat_ws(".", F.col("_parent.name"), F.col("name"))
     return seen.select("repository_id", "path", "language", kind.alias("node_type"), "name", qualified.alias("qualified_name"), F.concat_ws("|", "language", qualified, kind).alias("identity"), "start_line", F.coalesce("end_line", F.lit(2147483647)).alias("end_line"))

@@ -88,12 +88,12 @@ def freshness_after_hints(spark, sf):
 
 
 @query(BASE + """, a AS (SELECT repository_id, path, received_at AS invalidated_at FROM occ WHERE freshness_state = 'INVALID'), r AS (SELECT repository_id, path, received_at AS recomputed_at FROM occ WHERE freshness_state = 'CURRENT')
-SELECT a.repository_id, a.path, invalidated_at, (SELECT min(recomputed_at) FROM r WHERE r.repository_id = a.repository_id AND r.path = a.path AND recomputed_at > invalidated_at) AS closed_at FROM a""")
+SELECT a.repository_id, a.path, invalidated_at, coalesce((SELECT min(recomputed_at) FROM r WHERE r.repository_id = a.repository_id AND r.path = a.path AND recomputed_at > invalidated_at), TIMESTAMP '1970-01-01') AS closed_at FROM a""")
 def audit_closed(spark, sf):
-    """Invalidations and when a later recomputation closed them."""
+    """Invalidations and when a later recomputation closed them; 1970 stands for those that are open."""
     o = occurrences(spark, sf, "repository_id", "path", "freshness_state", "received_at")
     audit = o.where("freshness_state = 'INVALID'").select("repository_id", "path", F.col("received_at").alias("invalidated_at"))
-    return I.close_audit(audit, o.where("freshness_state = 'CURRENT'").select("repository_id", "path", F.col("received_at").alias("recomputed_at")), ["repository_id", "path"])
+    return I.close_audit(audit, o.where("freshness_state = 'CURRENT'").select("repository_id", "path", F.col("received_at").alias("recomputed_at")), ["repository_id", "path"]).withColumn("closed_at", F.coalesce("closed_at", F.lit("1970-01-01").cast("timestamp_ntz")))
 
 
 # --- tasks ----------------------------------------------------------------
