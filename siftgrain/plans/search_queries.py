@@ -38,6 +38,9 @@ hits AS (SELECT unit_id, repository_id, path, text, freshness_state, round({scor
 
 
 QUERIES, SQL = {}, {}
+# builds the index, which the searches after it read
+QUERIES["search_index"] = lambda spark, sf: spark.read.parquet(f"{index_of(spark, sf)}/stats").select("repository_id", F.col("n").alias("n_units"), F.round("avgdl", 6).alias("mean_tokens"))
+SQL["search_index"] = f"{BASE} SELECT repository_id, count(*) AS n_units, round(avg(len({TOKENS})), 6) AS mean_tokens FROM units GROUP BY 1"
 for _name, _expression, _condition, _terms in EXPRESSIONS:
     QUERIES[_name] = lambda spark, sf, e=_expression: I.score_units(spark, index_of(spark, sf), e).select("unit_id", "repository_id", "path", "score")
     SQL[_name] = _scored_sql(_condition, _terms) + "SELECT unit_id, repository_id, path, score FROM hits"
